@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, quality, tokenstore, toxicity
+from . import chat, decontaminate, packing, pii, quality, tokenstore, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_packing": packing.op2_packing,
+    "op3_pii": pii.op3_pii,
     "op5_token_store": tokenstore.op5_token_store,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_chat_formatting": chat.op7_chat_formatting,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_decontamination": decontaminate.OP10_SQL}
