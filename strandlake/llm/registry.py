@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, pii, quality, tokenstore, toxicity
+from . import chat, decontaminate, packing, pii, quality, suffixdedup, tokenstore, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_packing": packing.op2_packing,
     "op3_pii": pii.op3_pii,
+    "op4_suffix_dedup": suffixdedup.op4_suffix_dedup,
     "op5_token_store": tokenstore.op5_token_store,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_chat_formatting": chat.op7_chat_formatting,
