@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 END_ID = 0
 #: Pieces that a worker remembers; it forgets all of them beyond that.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 250_000
 
 
 def default_vocabulary() -> str:
