@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, pii, quality, suffixdedup, tokenstore, toxicity
+from . import chat, classlm, decontaminate, jaccard, packing, pii, quality, suffixdedup, tokenstore, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_token_store": tokenstore.op5_token_store,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_chat_formatting": chat.op7_chat_formatting,
+    "op8_lm_scoring": classlm.op8_lm_scoring,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 ORACLE: dict[str, str] = {"op10_decontamination": decontaminate.OP10_SQL}
