@@ -1 +1 @@
-"""See the package docstring."""
+"""Registered queries: whole tables in, with the DuckDB SQL that says the same."""

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .plans import indexing, parallel
+
+QUERIES = indexing.QUERIES | parallel.QUERIES
+ORACLE: dict[str, str] = indexing.ORACLE | parallel.ORACLE
