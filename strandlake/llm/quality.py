@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbdt
-from .textkit import SPACE, U, expand, flat, id_column, mix, ngram_hash, slices, span_hash, windows, words
+from .textkit import SPACE, U, flat, id_column, mix, ngram_hash, slices, span_hash, windows, words
 
 #: Rows of the labelled sample that the trees learn from, at most.
 SAMPLE_ROWS = 8000
