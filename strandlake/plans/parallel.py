@@ -169,7 +169,7 @@ def sorted_search_upper(t):
     return _search(t, "upper")
 
 
-@query("SELECT row_number() OVER (ORDER BY at, late, name) - 1 AS pos, name FROM (SELECT CAST(n_nationkey AS BIGINT) AS at, 1 AS late, n_name AS name FROM nation UNION ALL SELECT r_regionkey * 5, 0, r_name FROM region)")
+@query("SELECT row_number() OVER (ORDER BY place, late, name) - 1 AS pos, name FROM (SELECT CAST(n_nationkey AS BIGINT) AS place, 1 AS late, n_name AS name FROM nation UNION ALL SELECT r_regionkey * 5, 0, r_name FROM region)")
 def bulk_insert(t):
     rows = t("nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("name"))
     return P.bulk_insert(rows, "pos", t("region").select((F.col("r_regionkey") * 5).cast("long").alias("before"), F.col("r_name").alias("name")), "before").select("pos", "name")
