@@ -3,7 +3,8 @@
 A turn is `<|im_start|>role`, a line feed, the text, `<|im_end|>`, a line
 feed. Inside roles and texts every `<|` becomes `<\\|` and a backslash between
 `<` and `|` is doubled, so no text holds a control string and escaping can be
-undone. Only texts of assistants are under the loss mask.
+undone; in roles, backslashes and line feeds are
+escaped too. Only texts of assistants are under the loss mask.
 
 Texts may hold typed parts (`TextPart`, `ImagePart`, `AudioPart`,
 `DocumentPart`); a visitor flattens them into text with ordered placeholders
@@ -38,6 +39,14 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"<\1|", text)
 
 
+def escape_role(role: str) -> str:
+    return escape(role).replace("\\", "\\\\").replace("\n", "\\n")
+
+
+def unescape_role(role: str) -> str:
+    return unescape(re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role))
+
+
 @dataclass(frozen=True)
 class TextPart:
     text: str
@@ -115,7 +124,7 @@ def format_turn(role: str | None, content, visitor: Flattener) -> tuple[str, int
     role = "user" if role is None else role
     for p in content if isinstance(content, list | tuple) else [content]:
         part_of(p).accept(visitor)
-    head, body = f"{START}{escape(role)}\n", visitor.take()
+    head, body = f"{START}{escape_role(role)}\n", visitor.take()
     return head + body + END + "\n", len(head) if role == LOSS_ROLE else 0, len(head) + len(body) if role == LOSS_ROLE else 0
 
 
@@ -137,7 +146,7 @@ def parse_turn(piece: str) -> tuple[str, str]:
     if not piece.startswith(START) or not piece.endswith(END + "\n"):
         raise ValueError("not a marked turn")
     head, _, body = piece[len(START) : -len(END) - 1].partition("\n")
-    return unescape(head), unescape(body)
+    return unescape_role(head), unescape(body)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -145,15 +154,13 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     A conversation's formatted text is its pieces end to end in the order of
     (turn, role, text); pieces stay rows, so a conversation of any length is
-    never held in one value. Roles with a line feed are refused.
+    never held in one value.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
             for role, text in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if role and "\n" in role:
-                    raise ValueError("a role holds a line feed")
                 found.append(format_turn(role, text, Flattener()))
             c = list(zip(*found, strict=True)) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), b.column("text"), pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64())], names=["conv_id", "turn", "role", "text", "piece", "loss_start", "loss_end"])

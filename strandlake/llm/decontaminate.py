@@ -132,7 +132,8 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
 
     n_chars, where there is such a column, is counted again for texts that were cut.
     """
-    found, _ = mark_spans(docs, benchmark, window, max_set)
+    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "text")  # so no name can clash
+    found, _ = mark_spans(inner, benchmark, window, max_set)
     found = _hit(found).where(~F.col("contaminated"))
     bounds = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     words = F.array_remove(F.split("text", bounds, -1), "")
@@ -140,11 +141,15 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     cut = covered(F.col("_spans"))
     left = F.transform(words, lambda w, i: F.when(F.array_contains(cut, i + 1), "").otherwise(w))
     text = F.array_join(F.zip_with(gaps, F.concat(left, F.array(F.lit(""))), lambda g, w: F.concat(g, w)), "")
-    changed = F.col("n_hit") > 0
-    out = found.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = found.withColumn("text", F.when(F.col("n_hit") > 0, text).otherwise(F.col("text")))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("text")
+        own = F.col("_doc")[c]
+        return F.when(F.col("n_hit") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(own).alias(c) if c == "n_chars" else own.alias(c)
+
+    return found.select(*(column(c) for c in docs.columns))
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -215,22 +215,24 @@ def _substitutes(text: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", found_col: str = "_pii_found") -> DataFrame:
-    """docs with the text rewritten, and `found_col`: what was matched, as array of (old, kind, new)."""
-    if found_col in docs.columns:
-        raise ValueError(f"column {found_col} exists already; pass another found_col")
-    text = F.col(f"`{text_col}`")
-    marked = docs.withColumn(found_col, F.when(text.isNull(), F.array().cast("array<struct<old:string,kind:string,new:string>>")).otherwise(_substitutes(text, key)))
-    new = F.concat(F.transform(F.col(f"`{found_col}`"), lambda s: s["new"]), F.array(F.lit("")))
-    rebuilt = F.array_join(F.zip_with(F.split(text, PATTERN, -1), new, lambda a, b: F.concat(a, b)), "")
-    return marked.withColumn(text_col, F.when(F.size(f"`{found_col}`") > 0, rebuilt).otherwise(text))
+    """docs with the text rewritten, and behind its columns what was matched: array of (old, kind, new).
+
+    That column is called found_col, with underscores behind it where docs has such a column.
+    """
+    while found_col in docs.columns:
+        found_col += "_"
+    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(f"`{text_col}`").alias("_text"))
+    marked = inner.withColumn("_found", F.when(F.col("_text").isNull(), F.array().cast("array<struct<old:string,kind:string,new:string>>")).otherwise(_substitutes(F.col("_text"), key)))
+    new = F.concat(F.transform("_found", lambda s: s["new"]), F.array(F.lit("")))
+    rebuilt = F.array_join(F.zip_with(F.split("_text", PATTERN, -1), new, lambda a, b: F.concat(a, b)), "")
+    text = F.when(F.size("_found") > 0, rebuilt).otherwise(F.col("_text"))
+    return marked.select(*(text.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns), F.col("_found").alias(found_col))
 
 
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with the text rewritten and n_chars, where there is such a column, counted again."""
-    found = "_pii_found"
-    while found in docs.columns:
-        found += "_"
-    out = pseudonymise(docs, key, found_col=found).drop(found)
+    found = pseudonymise(docs, key)
+    out = found.drop(found.columns[-1])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -6,6 +6,7 @@ and an array of offsets; a null text counts as an empty one.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PAD = 64
+#: Bytes beyond which a span is hashed alone.
+LONG_SPAN = 4096
 U = np.uint64
 _K1, _K2, _K3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _KEEP = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [2**64 - 1], dtype=np.uint64)
@@ -82,7 +85,9 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int =
     v = np.ndarray((len(buf) - 7,), "<u8", buffer=buf, strides=(1,))
     h = lens.astype(np.uint64) * _K1 + U(seed)
     h = mix(h ^ (v[starts] & _KEEP[np.minimum(lens, 8)])) if len(starts) else h
-    i, at = np.flatnonzero(lens > 8), 8
+    for k in np.flatnonzero(lens > LONG_SPAN):
+        h[k] = int.from_bytes(hashlib.blake2b(buf[starts[k] : starts[k] + lens[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    i, at = np.flatnonzero((lens > 8) & (lens <= LONG_SPAN)), 8
     while i.size:
         h[i] = mix(h[i] * _K1 ^ (v[starts[i] + at] & _KEEP[np.minimum(lens[i] - at, 8)]))
         at += 8
