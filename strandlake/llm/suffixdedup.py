@@ -31,10 +31,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U, expand, flat, mix
+from .textkit import U, flat, mix
 
 DEPTH, GRAM = 50, 24
 SIDE = DEPTH - GRAM  # bytes before and behind a gram; windows of SIDE + 1 grams
@@ -266,11 +267,13 @@ def dedup_spans(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         if done.any():
             found.append((-1 - chunk, chunk, b"", b"", at[done].tobytes(), full[done].astype("<u8").tobytes()))
         rest = np.flatnonzero(~done)
+        rest = rest[np.argsort(h[rest], kind="stable")]  # like beside like, for the packer
         order, cuts = _split((h[rest] % U(parts)).astype(np.int64))
         rest = rest[order]
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b, i, j in cuts:
             r = rest[i:j]
-            found.append((b, chunk, rows[r].tobytes(), ids[doc[r]].astype("<i8").tobytes(), at[r].tobytes(), b""))
+            found.append((b, chunk, pack(rows[r].tobytes()), pack(ids[doc[r]].astype("<i8").tobytes()), pack(at[r].tobytes()), b""))
         return _table(kinds, found)
 
     out_kinds = [("chunk", pa.int64()), ("at", pa.binary()), ("mask", pa.binary())]
@@ -278,10 +281,12 @@ def dedup_spans(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     def resolve(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             return table.select(["chunk", "at", "mask"]).cast(pa.schema(out_kinds))
-        rows = np.frombuffer(b"".join(table["rows"].to_pylist()), np.uint8).reshape(-1, ROW)
-        doc = np.frombuffer(b"".join(table["doc"].to_pylist()), "<i8")
-        at = np.frombuffer(b"".join(table["at"].to_pylist()), "<i4").reshape(-1, 2)
-        owner = np.repeat(table["chunk"].to_numpy(), [len(x) // 8 for x in table["doc"].to_pylist()])
+        unpack = zstandard.ZstdDecompressor().decompress
+        rows = np.frombuffer(b"".join(unpack(x) for x in table["rows"].to_pylist()), np.uint8).reshape(-1, ROW)
+        docs_ = [unpack(x) for x in table["doc"].to_pylist()]
+        doc = np.frombuffer(b"".join(docs_), "<i8")
+        at = np.frombuffer(b"".join(unpack(x) for x in table["at"].to_pylist()), "<i4").reshape(-1, 2)
+        owner = np.repeat(table["chunk"].to_numpy(), [len(x) // 8 for x in docs_])
         mask = repeated_windows(rows, doc)
         i = np.flatnonzero(mask)
         order, cuts = _split(owner[i])
