@@ -10,7 +10,8 @@ of the word in its class, both smoothed:
 The class term needs only the bounded table of units, which all executors
 hold. The counts c(w) of all words are never sent out: texts send, by buckets
 of words, which words they have and how often; each bucket counts its words
-and returns, for each text, its share of sum log (c(w) + 1/2). The most
+and returns each text's share of sum log (c(w) + 1/2), packed by the batch
+that the text came with. The most
 frequent words are left out there, for executors know them.
 
 Words are 64-bit hashes. Defined results: a null or empty text has one token,
@@ -196,15 +197,15 @@ def lexical_sums(docs: DataFrame, units: Units, parts: int) -> DataFrame:
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(w) else np.zeros(0, np.int64)
             ends = np.r_[cut[1:], len(w)] if len(cut) else cut
             po = np.r_[word, len(h)]
-            rows_ = b.column("row").to_numpy()
+            rows_, piece = b.column("row").to_numpy(), b.column("row")[0].as_py()
             cols = [[], [], [], [], [], [], []]
             for i, j in zip(cut, ends, strict=True):
                 d, k = doc[po[i] : po[j]], c[po[i] : po[j]]
                 mine, local = np.unique(d, return_inverse=True)
                 for col, value in zip(cols, (int(bucket[i]), w[i:j].tobytes(), seen[i:j].astype("<u4").tobytes(), per[i:j].astype("<u2" if b.num_rows < 1 << 16 else "<u4").tobytes(), rows_[mine].tobytes(), local.astype("<u2" if b.num_rows < 1 << 16 else "<u4").tobytes(), np.minimum(k, 255).astype("u1").tobytes() + k[k >= 255].astype("<u4").tobytes()), strict=True):
                     col.append(value)
-            wide = pa.array([b.num_rows >= 1 << 16] * len(cols[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[1:]), wide], names=["bucket", "w", "seen", "per", "rows", "doc", "c", "wide"])
+            wide, piece = pa.array([b.num_rows >= 1 << 16] * len(cols[0])), pa.array([piece] * len(cols[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[1:]), wide, piece], names=["bucket", "w", "seen", "per", "rows", "doc", "c", "wide", "piece"])
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         w = [np.frombuffer(x, "<u8") for x in table["w"].to_pylist()]
@@ -222,11 +223,19 @@ def lexical_sums(docs: DataFrame, units: Units, parts: int) -> DataFrame:
             word = np.repeat(inv[at : at + len(x)], per)
             at += len(x)
             ids = np.frombuffer(rows_, "<i8")
-            out.append((ids, np.bincount(doc, k * log[word], len(ids)), np.bincount(doc, k * (total[word] > 0), len(ids))))
-        return pa.table({"row": np.concatenate([o[0] for o in out]), "s": np.concatenate([o[1] for o in out]), "known": np.concatenate([o[2] for o in out]).astype(np.int64)})
-
-    dealt = docs.select("row", "train", "text").mapInArrow(post, "bucket long, w binary, seen binary, per binary, rows binary, doc binary, c binary, wide boolean")
-    return dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(count, "row long, s double, known long").groupBy("row").agg(F.sum("s").alias("s"), F.sum("known").alias("known"))
+            out.append((rows_, np.bincount(doc, k * log[word], len(ids)).astype("<f8").tobytes(), np.bincount(doc, k * (total[word] > 0), len(ids)).astype("<i8").tobytes()))
+        c = list(zip(*out, strict=True))
+        return pa.table({"piece": table["piece"], "rows": pa.array(c[0], pa.binary()), "s": pa.array(c[1], pa.binary()), "known": pa.array(c[2], pa.binary())})
+
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        rows_, s, known = (np.frombuffer(b"".join(table[n].to_pylist()), kind) for n, kind in (("rows", "<i8"), ("s", "<f8"), ("known", "<i8")))
+        u, inv = np.unique(rows_, return_inverse=True)
+        order = np.lexsort((s, inv))  # a fixed order of summing
+        return pa.table({"row": u, "s": np.bincount(inv[order], s[order], len(u)), "known": np.bincount(inv, known, len(u)).astype(np.int64)})
+
+    dealt = docs.select("row", "train", "text").mapInArrow(post, "bucket long, w binary, seen binary, per binary, rows binary, doc binary, c binary, wide boolean, piece long")
+    shares = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(count, "piece long, rows binary, s binary, known binary")
+    return shares.groupBy("piece").applyInArrow(gather, "row long, s double, known long")
 
 
 @dataclass
