@@ -1,10 +1,11 @@
 """Exact Jaccard join of word shingle sets as a metric-space join.
 
 1 - J is a metric. Two sets within the radius differ in at most D shingles,
-where D follows from their sizes. The shingle space is split into D + 1 + SLACK
-parts by hash; two such sets agree on at least 1 + SLACK parts. A document
-joins one region for each of its parts (by the part's content), and, near the
-upper end of its size class, those of the next class. So each link shares a
+where D follows from their sizes. The shingle space is split into more than D
+parts by hash; two such sets agree on the parts beyond D, and pairs that agree
+on fewer are no links. A document joins one region for each of its parts (by
+the part's content), and, near the upper end of its size class, those of the
+next class. So each link shares a
 region, and regions hold little but near copies.
 
 A small region compares all its members, a bounded number. In a larger one a
@@ -38,12 +39,13 @@ from pyspark.sql import functions as F
 from .components import components
 from .textkit import LOWER, SPACE, U, flat, mix, ngram_hash, slices, span_hash, windows, words, written
 
-SLACK = 2
+#: Parts beyond those that may differ: EMPTY that may be empty, and up to MEETINGS - 1 that must be shared, too.
+EMPTY, MEETINGS = 2, 9
 #: Regions with so many members at most compare them all.
 SMALL = 24
-#: Members that are compared with one copy of their pivot.
-SHARE = 128
-PIVOTS = 32
+#: Nodes whose texts may meet in one task, and members that are compared with one copy of their pivot.
+GROUP, SHARE = 4096, 128
+PIVOTS = 128
 NO_ID = -(2**63)
 _HI = np.unique(np.ceil(1 / 0.7 ** np.arange(1, 90))).astype(np.int64)
 
@@ -78,6 +80,11 @@ def most_different(hi: np.ndarray, percent: int) -> np.ndarray:
     return (2 * hi * (100 - percent)) // (100 + percent)
 
 
+def meetings(different: np.ndarray) -> np.ndarray:
+    """In how many regions two linked sets meet at least."""
+    return 1 + np.minimum(MEETINGS - 1, different // 4)
+
+
 def regions(g: np.ndarray, goff: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(region, set) for all sets that may have a link to a different set."""
     sizes = np.diff(goff)
@@ -91,7 +98,7 @@ def regions(g: np.ndarray, goff: np.ndarray, percent: int) -> tuple[np.ndarray,
         who, cls, different = who[different > 0], cls[different > 0], different[different > 0]
         if not len(who):
             continue
-        m = different + 1 + SLACK
+        m = different + meetings(different) + EMPTY
         base = np.concatenate([[0], np.cumsum(m)])
         n = sizes[who]
         at = np.repeat(goff[:-1][who] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -106,19 +113,18 @@ def regions(g: np.ndarray, goff: np.ndarray, percent: int) -> tuple[np.ndarray,
         number = np.arange(base[-1]) - base[:-1][owner]
         content = mix(low + (high << U(32))) + count.astype(np.uint64)
         rid = mix(content ^ mix((number + (cls[owner] << 32)).astype(np.uint64) + U(0x51ED27)))
-        go = (count > 0) | (empty[owner] > SLACK)
+        go = (count > 0) | (empty[owner] > EMPTY)
         out_r.append(rid[go])
         out_s.append(who[owner[go]])
     return (np.concatenate(out_r), np.concatenate(out_s)) if out_r else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _pairs(rid: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lesser, greater) keys to compare, distinct; (region, member) of the large regions. rid, key: sorted, distinct."""
+def _pairs(rid: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(lesser, greater) keys to compare, distinct, and how often they met; (region, member) of the large regions. rid, key: sorted, distinct."""
     new = np.ones(len(rid), bool)
     new[1:] = rid[1:] != rid[:-1]
     g = np.cumsum(new) - 1
     size = np.bincount(g, minlength=1)[g] if len(g) else np.zeros(0, np.int64)
-    first = np.flatnonzero(new)[g] if len(g) else np.zeros(0, np.int64)
     a, b = [], []
     for d in range(1, SMALL):
         i = np.flatnonzero((g[d:] == g[:-d]) & (size[:-d] <= SMALL)) if len(g) > d else np.zeros(0, np.int64)
@@ -127,17 +133,36 @@ def _pairs(rid: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         a.append(key[i])
         b.append(key[i + d])
     large = np.flatnonzero(size > SMALL)
-    star = large[first[large] != large]
-    a.append(key[first[star]])
-    b.append(key[star])
-    e = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
-    return e[:, 0], e[:, 1], rid[large], key[large]
+    e = np.stack([np.concatenate(a), np.concatenate(b)], 1) if a else np.zeros((0, 2), np.int64)
+    e = e[np.lexsort((e[:, 1], e[:, 0]))]
+    new = np.ones(len(e), bool)
+    new[1:] = (e[1:] != e[:-1]).any(1)
+    at = np.flatnonzero(new)
+    return e[at, 0], e[at, 1], np.diff(np.r_[at, len(e)]), rid[large], key[large]
 
 
 def _bytes6(h: np.ndarray) -> np.ndarray:
     return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
 
 
+COMPARED = "a long, b long, both long, either long"
+
+
+def _compared(*columns) -> pa.Table:
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("a", "b", "both", "either"), columns, strict=True)})
+
+
+def sets_of(table: pa.Table, n: int) -> dict[int, np.ndarray]:
+    """The shingle set of each node that the rows (key, text) name; another text may bear the same id."""
+    wanted, sets = set(table["key"].to_pylist()), {}
+    for b in slices(iter(table.combine_chunks().to_batches())):
+        g, goff = shingle_sets(*flat(b.column("text")), n)
+        for i, k in enumerate(set_keys(g, goff).tolist()):
+            if k in wanted and k not in sets:
+                sets[k] = g[goff[i] : goff[i + 1]]
+    return sets
+
+
 class Join:
     """The steps of one join; `words_per` words a shingle, `percent` the least similarity."""
 
@@ -188,48 +213,114 @@ class Join:
             rid, k = rid[order], k[order]
             new = np.ones(len(rid), bool)
             new[1:] = (rid[1:] != rid[:-1]) | (k[1:] != k[:-1])
-            a, b, lr, lk = _pairs(rid[new], k[new])
-            return pa.table({"rid": pa.array(np.r_[np.zeros(len(a), np.int64), lr.astype(np.int64)], mask=np.r_[np.ones(len(a), bool), np.zeros(len(lr), bool)]), "a": pa.array(np.r_[a, np.zeros(len(lr), np.int64)], mask=np.r_[np.zeros(len(a), bool), np.ones(len(lr), bool)]), "b": pa.array(np.r_[b, lk])})
+            a, b, met, lr, lk = _pairs(rid[new], k[new])
+            return pa.table({"rid": pa.array(np.r_[np.zeros(len(a), np.int64), lr.astype(np.int64)], mask=np.r_[np.ones(len(a), bool), np.zeros(len(lr), bool)]), "a": pa.array(np.r_[a, np.zeros(len(lr), np.int64)], mask=np.r_[np.zeros(len(a), bool), np.ones(len(lr), bool)]), "b": pa.array(np.r_[b, lk]), "met": pa.array(np.r_[met, np.zeros(len(lr), np.int64)])})
 
         dealt = self.texts.mapInArrow(deal, "bucket long, rid binary, key binary")
-        return dealt.repartition(int(parts), "bucket").groupBy("bucket").applyInArrow(meet, "rid long, a long, b long")
+        return dealt.repartition(int(parts), "bucket").groupBy("bucket").applyInArrow(meet, "rid long, a long, b long, met long")
+
+    def least_meetings(self, size):
+        """In how many regions a set of so many shingles meets any that it is linked to, at least."""
+        table = [(int(hi), int(meetings(most_different(np.array([hi]), self.percent))[0])) for hi in _HI.tolist()]
+        need = F.lit(table[-1][1])
+        for hi, least in reversed(table):
+            if least < table[-1][1]:
+                need = F.when(size <= hi, least).otherwise(need)
+        return need
+
+    def narrowed(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs that may be links: a, b, met; members of large regions that may have one there: rid, key).
+
+        Two sets with a link meet in a known number of regions. In large
+        regions meetings are not listed, so a set's number of them stands for
+        the meetings that any pair may have had there.
+        """
+        pairs = written(found.where("rid is null").groupBy("a", "b").agg(F.sum("met").alias("met")), "met")
+        members = found.where("rid is not null").select("rid", F.col("b").alias("key"))
+        most = pairs.select(F.col("a").alias("key"), "met").union(pairs.select("b", "met")).groupBy("key").agg(F.max("met").alias("met"))
+        size = self.rows.where("n_shingles > 0").groupBy("key").agg(F.max("n_shingles").alias("size"))
+        size = size.join(members.groupBy("key").agg(F.count("*").alias("large")), "key", "left").join(most, "key", "left").fillna(0, ["large", "met"])
+        self.size = written(size.where((F.col("large") + F.col("met")) >= self.least_meetings(F.col("size"))).select("key", "size", "large"), "sizes")
+        return self.possible(pairs), members.join(self.size.select("key"), "key", "left_semi")
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        for c in ("a", "b"):
+            pairs = pairs.join(self.size.select(F.col("key").alias(c), F.col("size").alias(f"size_{c}"), F.col("large").alias(f"large_{c}")), c)
+        pairs = pairs.withColumn("most", F.greatest("size_a", "size_b")).where(100 * F.least("size_a", "size_b") >= self.percent * F.col("most"))
+        return pairs.where(F.col("met") + F.least("large_a", "large_b") >= self.least_meetings(F.col("most"))).select("a", "b", "met")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, both, either): sizes of intersection and union of each pair of nodes, each pair once.
-
-        Pairs are grouped by a, in shares of about SHARE members.
+        """(a, b, both, either): sizes of intersection and union for pairs of nodes.
+
+        Pairs of one component of the pair graph meet in one task, each text
+        once, where the component has up to GROUP nodes. In larger ones nodes
+        without a lesser neighbour are pivots and are compared with their
+        neighbours. Pairs whose ends are both within the radius of a pivot
+        need no comparison, for they are of one class; pairs whose distances
+        to it differ by more than the radius are no links. The others go on,
+        in the components that they still form.
         """
+        n, radius = self.n, 1 - self.percent / 100
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+        parts = written(components(pairs, "a", "b"), "parts")
+        sizes = parts.groupBy("label").agg(F.count("*").alias("nodes"))
+        parts = parts.join(sizes, "label")
+        dealt = pairs.join(parts.select(F.col("node").alias("a"), "label", "nodes"), "a")
+        texts = parts.where(F.col("nodes") <= GROUP).select("label", F.col("node").alias("key")).join(self.need, "key").select("label", "key", "text")
+
+        def group(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            sets = sets_of(left, n)
+            a, b = right["a"].to_pylist(), right["b"].to_pylist()
+            both = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)]
+            return _compared(a, b, both, [len(sets[x]) + len(sets[y]) - m for x, y, m in zip(a, b, both, strict=True)])
+
+        out = texts.groupBy("label").cogroup(dealt.where(F.col("nodes") <= GROUP).select(F.col("label").alias("group"), "a", "b").groupBy("group")).applyInArrow(group, COMPARED)
+        large = dealt.where(F.col("nodes") > GROUP)
+        if large.isEmpty():
+            return out
+        large = written(large.select("a", "b"), "large")
+        # nodes without a lesser neighbour are pivots of this round; keys are hashes, so rounds are few
+        star = large.join(large.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        stars = written(self.one_by_one(star), "stars")
+        d = stars.select(F.col("a").alias("p"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("d"))
+        at = lambda c: d.select("p", F.col("node").alias(c), F.col("d").alias(f"d{c}"))
+        rest = large.join(star, ["a", "b"], "left_anti")
+        known = rest.join(at("a"), "a").join(at("b"), ["p", "b"])
+        known = known.where((F.greatest("da", "db") <= radius + 1e-9) | (F.abs(F.col("da") - F.col("db")) > radius + 1e-9))
+        rest = written(rest.join(known.select("a", "b").distinct(), ["a", "b"], "left_anti"), "rest")
+        out = out.union(stars)
+        return out if rest.isEmpty() else out.union(self.compared(rest))
+
+    def one_by_one(self, pairs: DataFrame) -> DataFrame:
+        """Compares each a with its partners, in shares of about SHARE."""
         n = self.n
-        pairs = pairs.distinct()
-        shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+        shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("long").alias("shares"))
         dealt = pairs.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")))
-        need = dealt.select("a", "share", F.explode(F.array("a", "b")).alias("key")).distinct()
-        need = need.join(self.nodes, "key").join(self.texts, "id").select("a", "share", "key", "text")
+        texts = dealt.select("a", "share", F.explode(F.array("a", "b")).alias("key")).distinct().join(self.need, "key").select("a", "share", "key", "text")
 
         def measure(key: tuple, table: pa.Table) -> pa.Table:
-            sets = {}
-            wanted = set(table["key"].to_pylist())
-            for b in slices(iter(table.combine_chunks().to_batches())):
-                g, goff = shingle_sets(*flat(b.column("text")), n)
-                for i, k in enumerate(set_keys(g, goff).tolist()):
-                    if k in wanted and k not in sets:  # another text may bear the same id
-                        sets[k] = g[goff[i] : goff[i + 1]]
-            pivot, own = sets[key[0].as_py()], key[0].as_py()
-            found = [(own, k, len(np.intersect1d(pivot, s, assume_unique=True)), len(s)) for k, s in sets.items() if k != own]
-            c = list(zip(*found, strict=True)) if found else [[]] * 4
-            return pa.table({"a": pa.array(c[0], pa.int64()), "b": pa.array(c[1], pa.int64()), "both": pa.array(c[2], pa.int64()), "either": pa.array([len(pivot) + y - x for x, y in zip(c[2], c[3], strict=True)], pa.int64())})
+            sets, own = sets_of(table, n), key[0].as_py()
+            pivot = sets.pop(own)
+            both = [len(np.intersect1d(pivot, s, assume_unique=True)) for s in sets.values()]
+            return _compared([own] * len(sets), list(sets), both, [len(pivot) + len(s) - m for s, m in zip(sets.values(), both, strict=True)])
 
-        return need.groupBy("a", "share").applyInArrow(measure, "a long, b long, both long, either long")
+        return texts.groupBy("a", "share").applyInArrow(measure, COMPARED)
 
     def labels(self) -> DataFrame:
         """(key, label) of all nodes with a link to another node."""
         found = written(self.candidates(), "candidates")
-        checked = written(self.compared(found.where("rid is null").select("a", "b")), "compared")
+        met, members = self.narrowed(found)
+        met, members = written(met, "met"), written(members, "members")
+        # the texts of all that may ever be compared leave the corpus once
+        nodes = met.select(F.explode(F.array("a", "b")).alias("key")).union(members.select("key")).distinct()
+        self.need = written(nodes.join(self.nodes, "key").join(self.texts, "id").select("key", "text"), "texts")
+        pivots = members.groupBy("rid").agg(F.min("key").alias("pivot"))
+        stars = members.join(pivots, "rid").where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+        stars = self.possible(stars.join(met, ["a", "b"], "left").fillna(0, ["met"]))
+        checked = written(self.compared(met.union(stars).select("a", "b")), "compared")
         linked = f"100 * both >= {self.percent} * either"
         label = written(components(checked.where(linked), "a", "b"), "labels")
         radius = 1 - self.percent / 100
-        members = found.where("rid is not null").select("rid", F.col("b").alias("key"))
-        pivots = members.groupBy("rid").agg(F.min("key").alias("pivot"))
         members = members.join(pivots, "rid").join(checked.select(F.col("a").alias("pivot"), F.col("b").alias("key"), (1 - F.col("both") / F.col("either")).alias("d")), ["pivot", "key"], "left").withColumn("d", F.when(F.col("key") == F.col("pivot"), 0.0).otherwise(F.col("d")))
         while True:
             # members that are of their pivot's class, but for the window that others may reach, are done
@@ -243,7 +334,8 @@ class Join:
             drawn = left.where("other").where((F.col("key") == F.col("next")) | (F.pmod(F.xxhash64("key", "rid"), F.greatest(F.lit(1), F.floor(F.col("others") / PIVOTS))) == 0))
             drawn = drawn.select("rid", F.col("key").alias("p"), F.col("label").alias("p_label"), F.col("d").alias("p_d"))
             pairs = left.join(drawn, "rid").where((F.col("label") != F.col("p_label")) & F.coalesce(F.abs(F.col("d") - F.col("p_d")) <= radius + 1e-9, F.lit(True)))  # an unknown distance rules nothing out
-            fresh = written(self.compared(pairs.select(F.least("p", "key").alias("a"), F.greatest("p", "key").alias("b"))), "compared")
+            pairs = pairs.select(F.least("p", "key").alias("a"), F.greatest("p", "key").alias("b")).distinct().join(met, ["a", "b"], "left").fillna(0, ["met"])
+            fresh = written(self.compared(self.possible(pairs).select("a", "b")), "compared")
             label = written(components(label.select("node", "label").union(fresh.where(linked).select("a", "b")), "node", "label"), "labels")
             rest = left.select("rid", "key").join(drawn.select("rid", F.col("p").alias("key")), ["rid", "key"], "left_anti")
             # the pivots are done; distances to one of them serve as the next windows
