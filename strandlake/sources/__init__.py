@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """(path, text): whole files as bytes, cut after max_bytes if given. A missing path is an error, an empty file an empty text."""
+    """(path, text): whole files as bytes, cut after max_bytes if given. A missing path is an error; an empty file has no row, as its text has no suffixes."""
     content = F.col("content") if max_bytes is None else F.substring("content", 1, max_bytes)
     return spark.read.format("binaryFile").load(path).select("path", content.alias("text"))
 
