@@ -25,7 +25,7 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "aws": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|secret|token|api_?key)(?: ?[=:] ?)(?=[^\s,;\"']*\d)[^\s,;\"']{6,}",
+    "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|secret|token|api_?key)[\"']? ?[=:] ?[\"']?(?=[^\s,;\"']*\d)[^\s,;\"']{6,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\w+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{2,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\w)",
     "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
@@ -202,7 +202,7 @@ def _kind(m: Column) -> Column:
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return (
-        F.when(kind == "email", _email(m, key)).when(kind == "aws", _tail(m, key, "^AKIA")).when(kind == "secret", _tail(m, key, r"^[A-Za-z_]+ ?[=:] ?"))
+        F.when(kind == "email", _email(m, key)).when(kind == "aws", _tail(m, key, "^AKIA")).when(kind == "secret", _tail(m, key, r"^[A-Za-z_]+[\"']? ?[=:] ?[\"']?"))
         .when(kind == "iban", _iban(m, key)).when(kind == "phone", _phone(m, key)).when(kind == "card", _card(m, key))
         .when(kind == "ssn", _ssn(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "date", _date(m, key)).otherwise(m)
     )

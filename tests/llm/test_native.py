@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,34 @@ def test_op3_counts(spark, sf_dir):
     assert both.where("n_replaced = 0 and text <> old or n_replaced > 0 and text = old").count() == 0
 
 
+def test_quoted_secrets(spark):
+    hexes = "0123456789abcdef" * 2 + "01234567"
+    texts = [f'x token = "{hexes}" y', f'TOKEN = "{hexes.upper()}"!!', f'{{"password": "{hexes}", "id": 1}}', f"api_key='{hexes}'", f'"secret":"{hexes}"', f"pwd: {hexes}"]
+    got = found(spark, texts)
+    for i, t in enumerate(texts):
+        (s,) = got[i]._pii_found
+        at = t.lower().index(hexes)
+        assert s.kind == "secret" and hexes not in got[i].text.lower() and len(got[i].text) == len(t)
+        assert (got[i].text[:at], got[i].text[at + 40 :]) == (t[:at], t[at + 40 :])
+    clean = ['token = ""', 'the token "abcdefg" and "password": "", "id": 123456', "secret: 'only words'"]
+    assert [found(spark, clean)[i].text for i in range(len(clean))] == clean
+
+
+def test_op3_secrets_against_brute_force(spark, sf_dir):
+    path = Path(sf_dir).parent / "sf0.01"
+    if not path.is_dir():
+        pytest.skip("no test tables")
+    planted = re.compile('(?i)(token = ")([0-9a-f]{40})(?=")')
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()}
+    want = {i: planted.findall(t) for i, t in docs.items() if planted.search(t)}
+    assert sum(map(len, want.values())) == 13
+    got = {r.doc_id: r for r in registry.QUERIES["op3_pii"](spark, str(path)).collect()}
+    assert {i: r.n_secret for i, r in got.items() if r.n_secret} == {i: len(x) for i, x in want.items()}
+    for i, pairs in want.items():
+        assert not any(value in got[i].text for _, value in pairs)
+        assert [head for head, _ in planted.findall(re.sub('(?i)(token = ")[0-9a-z]{40}(?=")', lambda m: m[1] + "0" * 40, got[i].text))] == [head for head, _ in pairs]
+
+
 def test_op10_matches_sql(spark, sf_dir, duck):
     same(registry.QUERIES["op10_decontamination"](spark, sf_dir).toPandas(), duck.execute(registry.ORACLE["op10_decontamination"]).df())
 
