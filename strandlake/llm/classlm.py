@@ -1,18 +1,21 @@
 """Brown class-based bigram language model over the whole corpus.
 
-Exchange clustering puts units into classes: the most frequent words are units
-of their own, all other words share a unit by a hash of their last bytes. A
-word's probability is that of its class after the class before it, times that
-of the word in its class, both smoothed:
+Every word of the training texts has a class of its own. Exchange clustering
+starts it: the most frequent words are units, all other words share a unit by a
+hash of their last bytes. Then each other word's neighbours are counted by their
+classes of that start, over all training texts, and the word goes to the class
+where the model makes its occurrences likeliest. Only words that no training
+text has stay with the class of their ending. A word's probability is that of
+its class after the class before it, times that of the word in its class, both
+smoothed:
 
   log P(text) = sum log P(class | class before) + log (c(w) + 1/2) / (N_class + (V_class + 1) / 2)
 
-The class term needs only the bounded table of units, which all executors
-hold. The counts c(w) of all words are never sent out: texts send, by buckets
-of words, which words they have and how often; each bucket counts its words
-and returns each text's share of sum log (c(w) + 1/2), packed by the batch
-that the text came with. The most
-frequent words are left out there, for executors know them.
+What executors hold does not grow with the corpus: units and classes. Counts
+and classes of the other words are never sent out as a table: texts, in pieces,
+send by buckets of words which words they have, how often and between which
+classes; each bucket counts its words, chooses their classes and returns both
+to the pieces. Class bigrams are counted again from the classes chosen.
 
 Words are 64-bit hashes. Defined results: a null or empty text has one token,
 the end; a null doc_id belongs to the training fold; rows with equal ids are
@@ -135,15 +138,14 @@ def _marked(docs: DataFrame, folds: int, held: int) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, tail, c) of all tokens of the training rows, ends included."""
+    """(h, c) of all tokens of the training rows, ends included."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=6 << 20):
-            h, t, _ = token_hashes(*flat(b.column("text")))
-            u, first, c = np.unique(h, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(t[first].astype(np.int32)), pa.array(c)], names=["h", "tail", "c"])
+            u, c = np.unique(token_hashes(*flat(b.column("text")))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(c)], names=["h", "c"])
 
-    return docs.where("train").select("text").mapInArrow(rows, "h long, tail int, c long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
+    return docs.where("train").select("text").mapInArrow(rows, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def unit_bigrams(docs: DataFrame, units: Units) -> np.ndarray:
@@ -170,92 +172,41 @@ def unit_bigrams(docs: DataFrame, units: Units) -> np.ndarray:
     return out.reshape(units.size, units.size)
 
 
-def lexical_sums(docs: DataFrame, units: Units, parts: int) -> DataFrame:
-    """(row, s, known): for each text the sum of log10 (c(w) + 1/2) over its tokens that are no frequent words, and how many have c > 0."""
-    held = docs.sparkSession.sparkContext.broadcast(units)
+def planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on, which compresses better."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        for b in slices(batches, limit=6 << 20):
-            h, _, toff = token_hashes(*flat(b.column("text")))
-            doc = np.repeat(np.arange(b.num_rows), np.diff(toff))
-            if len(m.words):
-                i = np.minimum(np.searchsorted(m.words, h), len(m.words) - 1)
-                rare = m.words[i] != h
-                h, doc = h[rare], doc[rare]
-            order = np.lexsort((doc, h, h % U(parts)))
-            h, doc = h[order], doc[order]
-            new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
-            c = np.diff(np.r_[new, len(h)])
-            h, doc = h[new], doc[new]
-            word = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-            per = np.diff(np.r_[word, len(h)])
-            train = b.column("train").to_numpy(zero_copy_only=False)
-            seen = np.add.reduceat(np.where(train[doc], c, 0), word) if len(word) else np.zeros(0, np.int64)
-            w = h[word]
-            bucket = (w % U(parts)).astype(np.int64)
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(w) else np.zeros(0, np.int64)
-            ends = np.r_[cut[1:], len(w)] if len(cut) else cut
-            po = np.r_[word, len(h)]
-            rows_, piece = b.column("row").to_numpy(), b.column("row")[0].as_py()
-            cols = [[], [], [], [], [], [], []]
-            for i, j in zip(cut, ends, strict=True):
-                d, k = doc[po[i] : po[j]], c[po[i] : po[j]]
-                mine, local = np.unique(d, return_inverse=True)
-                for col, value in zip(cols, (int(bucket[i]), w[i:j].tobytes(), seen[i:j].astype("<u4").tobytes(), per[i:j].astype("<u2" if b.num_rows < 1 << 16 else "<u4").tobytes(), rows_[mine].tobytes(), local.astype("<u2" if b.num_rows < 1 << 16 else "<u4").tobytes(), np.minimum(k, 255).astype("u1").tobytes() + k[k >= 255].astype("<u4").tobytes()), strict=True):
-                    col.append(value)
-            wide, piece = pa.array([b.num_rows >= 1 << 16] * len(cols[0])), pa.array([piece] * len(cols[0]), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[1:]), wide, piece], names=["bucket", "w", "seen", "per", "rows", "doc", "c", "wide", "piece"])
 
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        w = [np.frombuffer(x, "<u8") for x in table["w"].to_pylist()]
-        seen = [np.frombuffer(x, "<u4") for x in table["seen"].to_pylist()]
-        u, inv = np.unique(np.concatenate(w), return_inverse=True)
-        total = np.bincount(inv, np.concatenate(seen), len(u))
-        log = np.log10(total + 0.5)
-        at, out = 0, []
-        for x, per, rows_, doc, c, wide in zip(w, *(table[n].to_pylist() for n in ("per", "rows", "doc", "c", "wide")), strict=True):
-            kind = "<u4" if wide else "<u2"
-            per, doc = np.frombuffer(per, kind).astype(np.int64), np.frombuffer(doc, kind)
-            n = len(doc)
-            k = np.frombuffer(c[:n], np.uint8).astype(np.int64)
-            k[k == 255] = np.frombuffer(c[n:], "<u4")
-            word = np.repeat(inv[at : at + len(x)], per)
-            at += len(x)
-            ids = np.frombuffer(rows_, "<i8")
-            out.append((rows_, np.bincount(doc, k * log[word], len(ids)).astype("<f8").tobytes(), np.bincount(doc, k * (total[word] > 0), len(ids)).astype("<i8").tobytes()))
-        c = list(zip(*out, strict=True))
-        return pa.table({"piece": table["piece"], "rows": pa.array(c[0], pa.binary()), "s": pa.array(c[1], pa.binary()), "known": pa.array(c[2], pa.binary())})
-
-    def gather(key: tuple, table: pa.Table) -> pa.Table:
-        rows_, s, known = (np.frombuffer(b"".join(table[n].to_pylist()), kind) for n, kind in (("rows", "<i8"), ("s", "<f8"), ("known", "<i8")))
-        u, inv = np.unique(rows_, return_inverse=True)
-        order = np.lexsort((s, inv))  # a fixed order of summing
-        return pa.table({"row": u, "s": np.bincount(inv[order], s[order], len(u)), "known": np.bincount(inv, known, len(u)).astype(np.int64)})
-
-    dealt = docs.select("row", "train", "text").mapInArrow(post, "bucket long, w binary, seen binary, per binary, rows binary, doc binary, c binary, wide boolean, piece long")
-    shares = dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(count, "piece long, rows binary, s binary, known binary")
-    return shares.groupBy("piece").applyInArrow(gather, "row long, s double, known long")
+def unplanes(raw: bytes, kind: str) -> np.ndarray:
+    n = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8).reshape(n, -1).T.copy().view(kind).ravel()
+
+
+def transitions(table: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before) from counts of class pairs."""
+    k = int(live.sum())
+    backoff = (table.sum(0) + 0.5 * live) / (table.sum() + 0.5 * k)
+    p = (table + k * 0.1 * backoff) / (table.sum(1, keepdims=True) + k * 0.1)
+    return np.log10(np.maximum(p, 1e-300))
 
 
 @dataclass
-class Model:
+class Start:
+    """The units, their classes, and what a word's class is chosen by: log10 P(class | class before) / N_class and log10 P(class after | class)."""
+
     units: Units
     cls: np.ndarray
-    transition: np.ndarray  # log10 P(class | class before)
-    divisor: np.ndarray  # log10 (N_class + (V_class + 1) / 2)
-    total: int
-    distinct: int
-
-
-def train(marked: DataFrame, counts: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES) -> Model:
-    """counts: the written table of word_counts."""
-    end = int(END)
-    top = counts.where(F.col("h") != end).orderBy(F.desc("c"), "h").limit(frequent).collect()
-    ends = counts.where(F.col("h") == end).collect()
-    picked = sorted([(r.h & (2**64 - 1), r.c) for r in [*top, *ends]])
+    live: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+
+
+def start(marked: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES) -> Start:
+    if not 0 < classes <= 256:
+        raise ValueError("1 to 256 classes")
+    is_end = F.col("h") == int(END)
+    picked = sorted((r.h & (2**64 - 1), r.c) for r in word_counts(marked).orderBy(F.desc(is_end), F.desc("c"), "h").limit(frequent + 1).collect())
     units = Units(np.array([p[0] for p in picked], np.uint64), np.array([p[1] for p in picked], np.int64))
-    signed = [int(np.int64(np.uint64(p[0]))) if p[0] < 2**63 else p[0] - 2**64 for p in picked]
     big = unit_bigrams(marked, units)
     cls = exchange(big, classes)
     member = np.zeros((units.size, classes))
@@ -263,39 +214,137 @@ def train(marked: DataFrame, counts: DataFrame, frequent: int = FREQUENT, classe
     table = member.T @ big @ member
     live = np.bincount(cls, big.sum(0) > 0, classes) > 0
     live[cls[len(units.words) :]] = True  # a class with a tail can always be met
-    k = int(live.sum())
-    backoff = (table.sum(0) + 0.5 * live) / (table.sum() + 0.5 * k)
-    p = (table + k * 0.1 * backoff) / (table.sum(1, keepdims=True) + k * 0.1)
-    rare = counts.where(~F.col("h").isin(signed)) if signed else counts
-    tails = rare.groupBy("tail").agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()  # TAILS rows at most
-    v, n = np.zeros(units.size), np.zeros(units.size)
-    v[: len(units.words)], n[: len(units.words)] = 1, units.counts
-    for r in tails:
-        v[len(units.words) + r.tail], n[len(units.words) + r.tail] = r.v, r.n
-    by = lambda x: np.bincount(cls, x, classes)
-    divisor = np.log10(by(n) + 0.5 * (by(v) + 1))
-    return Model(units, cls, np.log10(np.maximum(p, 1e-300)), divisor, int(n.sum()), int(v.sum()))
-
-
-def class_sums(marked: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, row, train, n_tokens, freq_s, freq_known, class_s) of all texts: what needs no counts of rare words."""
+    log = transitions(table, live)
+    before = np.where(live[None, :], log - np.log10(table.sum(0) + 0.5)[None, :], -1e9)
+    return Start(units, cls, live, before, log)
+
+
+def best_classes(left: np.ndarray, right: np.ndarray, model: Start) -> np.ndarray:
+    """Class of each word from the counts of the classes before and behind it; the first of equals."""
+    return np.round(left @ model.before + right @ model.after.T, 9).argmax(1).astype(np.uint8)
+
+
+def deal(marked: DataFrame, model: Start, parts: int) -> DataFrame:
+    """A row a piece of texts (bucket -1): its tokens by number; and a row for each bucket that it has words for."""
     held = marked.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        log = np.r_[np.log10(m.units.counts + 0.5), np.zeros(TAILS)]
-        known = np.r_[m.units.counts > 0, np.zeros(TAILS, bool)].astype(np.int64)
-        end = int(m.units.of(np.array([END]), np.zeros(1, np.int64))[0])
-        for b in slices(batches):
+        top = len(m.units.words)
+        end = int(m.cls[m.units.of(np.array([END]), np.zeros(1, np.int64))[0]])
+        for b in slices(batches, limit=6 << 20):
             h, t, toff = token_hashes(*flat(b.column("text")))
-            u = m.units.of(h, t)
-            c = m.cls[u]
-            before = np.r_[m.cls[end], c[:-1]]
-            before[toff[:-1]] = m.cls[end]
-            add = lambda x: np.add.reduceat(x, toff[:-1])  # noqa: E731  each text has its end
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("train"), pa.array(np.diff(toff)), pa.array(add(log[u])), pa.array(add(known[u])), pa.array(add(m.transition[before, c] - m.divisor[c]))], names=["doc_id", "row", "train", "n_tokens", "freq_s", "freq_known", "class_s"])
+            train = b.column("train").to_numpy(zero_copy_only=False).astype(bool)
+            ids = m.units.of(h, t)
+            c = m.cls[ids].astype(np.uint8)
+            before = np.r_[c[:0], np.uint8(end), c[:-1]]
+            before[toff[:-1]] = end
+            after = np.r_[c[1:], np.uint8(end)]
+            at = np.flatnonzero(ids >= top)
+            u, first, inv = np.unique(h[at], return_index=True, return_inverse=True)
+            order = np.argsort(u % U(parts), kind="stable")
+            rank = np.empty(len(u), np.int64)
+            rank[order] = np.arange(len(u))
+            word = rank[inv]
+            ids[at] = top + word
+            w, unseen = u[order], c[at[first[order]]]
+            learn = np.repeat(train, np.diff(toff))[at]
+            seen = np.bincount(word[learn], minlength=len(w))
+            places = at[learn][np.argsort(word[learn], kind="stable")]
+            till = np.r_[0, np.cumsum(seen)]
+            bucket = (w % U(parts)).astype(np.int64)
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(w) else np.zeros(0, np.int64)
+            piece, n = b.column("row")[0].as_py(), len(cut)
+            cols = [[], [], [], []]
+            for i, j in zip(cut, np.r_[cut[1:], len(w)], strict=True) if n else ():
+                p = places[till[i] : till[j]]
+                for col, value in zip(cols, (w[i:j].tobytes(), planes(seen[i:j].astype("<u4")), before[p].tobytes(), after[p].tobytes()), strict=True):
+                    col.append(value)
+            none = [None] * n
+            whole = (planes(ids.astype("<u4")), toff.astype("<i8").tobytes(), train.tobytes(), unseen.tobytes())
+            arrays = [pa.array([piece] * (n + 1), pa.int64()), pa.array([*bucket[cut].tolist(), -1], pa.int64()), *(pa.array([*col, None], pa.binary()) for col in cols), *(pa.array([*none, x], pa.binary()) for x in whole), pa.array([*none, b.column("doc_id").to_pylist()], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["piece", "bucket", "w", "seen", "before", "after", "ids", "toff", "train", "unseen", "docs"])
+
+    return marked.select("doc_id", "row", "train", "text").mapInArrow(rows, "piece long, bucket long, w binary, seen binary, before binary, after binary, ids binary, toff binary, train binary, unseen binary, docs array<long>")
+
+
+def word_classes(dealt: DataFrame, model: Start, parts: int) -> DataFrame:
+    """(piece, bucket, cls, total) for each piece's words of a bucket; and a row a bucket without piece: its distinct seen words and their tokens by class."""
+    held = dealt.sparkSession.sparkContext.broadcast(model)
+
+    def choose(key: tuple, table: pa.Table) -> pa.Table:
+        m = held.value
+        k = len(m.before)
+        w = [np.frombuffer(x, "<u8") for x in table["w"].to_pylist()]
+        u, inv = np.unique(np.concatenate(w), return_inverse=True)
+        seen = np.concatenate([unplanes(x, "<u4") for x in table["seen"].to_pylist()]).astype(np.int64)
+        total = np.bincount(inv, seen, len(u)).astype(np.int64)
+        before, after = (np.frombuffer(b"".join(table[n].to_pylist()), np.uint8) for n in ("before", "after"))
+        order = np.argsort(np.repeat(inv, seen), kind="stable")
+        till = np.r_[0, np.cumsum(total)]
+        cls = np.zeros(len(u), np.uint8)
+        for i in range(0, len(u), 1 << 15):
+            j = min(i + (1 << 15), len(u))
+            at, word = order[till[i] : till[j]], np.repeat(np.arange(j - i), total[i:j])
+            left, right = (np.bincount(word * k + x[at], minlength=(j - i) * k).reshape(-1, k).astype(float) for x in (before, after))
+            cls[i:j] = best_classes(left, right, m)
+        pieces, cut = [], np.r_[0, np.cumsum([len(x) for x in w])]
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            pieces.append((cls[inv[i:j]].tobytes(), planes(total[inv[i:j]].astype("<u8"))))
+        sums = (np.bincount(cls, total > 0, k).astype("<i8").tobytes(), np.bincount(cls, total, k).astype("<i8").tobytes())
+        c = list(zip(*pieces, sums, strict=True))
+        return pa.table({"piece": pa.array([*table["piece"].to_pylist(), None], pa.int64()), "bucket": pa.array([key[0].as_py()] * (len(w) + 1), pa.int64()), "cls": pa.array(c[0], pa.binary()), "total": pa.array(c[1], pa.binary())})
+
+    some = dealt.where("bucket >= 0").select("piece", "bucket", "w", "seen", "before", "after")
+    return some.repartition(parts, "bucket").groupBy("bucket").applyInArrow(choose, "piece long, bucket long, cls binary, total binary")
+
+
+def class_texts(dealt: DataFrame, chosen: DataFrame, model: Start) -> DataFrame:
+    """A row a piece: the class of each token, and of each text the sum of log10 (c(w) + 1/2) and how many tokens have c > 0."""
+    held = dealt.sparkSession.sparkContext.broadcast(model)
+
+    def gather(key: tuple, whole: pa.Table, shares: pa.Table) -> pa.Table:
+        m = held.value
+        one = whole.to_pylist()[0]
+        got = sorted(shares.to_pylist(), key=lambda r: r["bucket"])
+        total = np.concatenate([m.units.counts, *(unplanes(r["total"], "<u8") for r in got)]).astype(np.int64)
+        top = len(m.units.words)
+        rare = np.frombuffer(b"".join(r["cls"] for r in got), np.uint8)
+        cls = np.r_[m.cls[:top].astype(np.uint8), np.where(total[top:] > 0, rare, np.frombuffer(one["unseen"], np.uint8))]
+        ids, at = unplanes(one["ids"], "<u4"), np.frombuffer(one["toff"], "<i8")[:-1]
+        s, known = np.add.reduceat(np.log10(total + 0.5)[ids], at), np.add.reduceat((total > 0).astype(np.int64)[ids], at)
+        return pa.table({"docs": whole["docs"], "toff": whole["toff"], "train": whole["train"], "cls": pa.array([cls[ids].tobytes()], pa.binary()), "s": pa.array([s.tobytes()], pa.binary()), "known": pa.array([known.tobytes()], pa.binary())})
+
+    whole = dealt.where("bucket < 0").select("piece", "ids", "toff", "train", "unseen", "docs")
+    shares = chosen.where("piece is not null")
+    return whole.groupBy("piece").cogroup(shares.groupBy("piece")).applyInArrow(gather, "docs array<long>, toff binary, train binary, cls binary, s binary, known binary")
+
+
+def _steps(row: dict, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class before, class, offsets) of a piece's tokens."""
+    cls, toff = np.frombuffer(row["cls"], np.uint8), np.frombuffer(row["toff"], "<i8")
+    before = np.r_[cls[:0], np.uint8(end), cls[:-1]]
+    before[toff[:-1]] = end
+    return before, cls, toff
+
+
+def class_bigrams(texts: DataFrame, end: int, classes: int) -> np.ndarray:
+    """Counts of class pairs in training texts; classes^2 numbers come to the driver."""
 
-    return marked.select("doc_id", "row", "train", "text").mapInArrow(rows, "doc_id long, row long, train boolean, n_tokens long, freq_s double, freq_known long, class_s double")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for b in batches:
+            for row in b.to_pylist():
+                before, cls, toff = _steps(row, end)
+                learn = np.repeat(np.frombuffer(row["train"], bool), np.diff(toff))
+                total += np.bincount(before[learn].astype(np.int64) * classes + cls[learn], minlength=len(total))
+        i = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], names=["pair", "c"])
+
+    got = texts.select("toff", "train", "cls").mapInArrow(rows, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(classes * classes)
+    out[got["pair"].to_numpy()] = got["c"].to_numpy()
+    return out.reshape(classes, classes)
 
 
 def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, frequent: int = FREQUENT, classes: int = CLASSES) -> DataFrame:
@@ -307,13 +356,30 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, frequent: int = FR
     marked = _marked(docs, folds, held)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(max(1, size // (10 << 20), min(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 20)))
-    counts = written(word_counts(marked), "words")
-    model = train(marked, counts, frequent, classes)
-    base = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
-    out = class_sums(marked, model).join(lexical_sums(marked, model.units, parts), "row", "left")
-    lexical = F.col("freq_s") + F.coalesce("s", F.lit(0.0))
-    score = lexical + F.col("class_s")
-    return out.select("doc_id", "train", "n_tokens", (F.col("freq_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (lexical - F.col("n_tokens") * F.lit(base)).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
+    model = start(marked, frequent, classes)
+    top = len(model.units.words)
+    dealt = written(deal(marked, model, parts), "pieces")
+    chosen = written(word_classes(dealt, model, parts), "chosen")
+    texts = written(class_texts(dealt, chosen, model), "classes")
+    v, n = np.bincount(model.cls[:top], minlength=classes), np.bincount(model.cls[:top], model.units.counts, classes).astype(np.int64)
+    for r in chosen.where("piece is null").collect():  # a row a bucket
+        v, n = v + np.frombuffer(r.cls, "<i8"), n + np.frombuffer(r.total, "<i8")
+    end = int(model.cls[model.units.of(np.array([END]), np.zeros(1, np.int64))[0]])
+    live = model.live | (v > 0)
+    step = transitions(class_bigrams(texts, end, classes), live) - np.log10(n + 0.5 * (v + 1))
+    total = int(n.sum())
+    base = float(np.log10(total + 0.5 * (int(v.sum()) + 1)))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                before, cls, toff = _steps(row, end)
+                s, known = np.frombuffer(row["s"], "<f8"), np.frombuffer(row["known"], "<i8")
+                lens = np.diff(toff)
+                score = s + np.add.reduceat(step[before, cls], toff[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64()), pa.array(np.frombuffer(row["train"], bool)), pa.array(lens), pa.array(known), pa.array(np.full(len(lens), total)), pa.array(s - lens * base), pa.array(score), pa.array(10.0 ** (-score / lens))], names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+
+    return texts.mapInArrow(rows, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:

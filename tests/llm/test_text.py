@@ -264,6 +264,40 @@ def test_lm_edges(spark):
     assert classlm.lm_scores(odd(spark).limit(0)).count() == 0
 
 
+def test_rare_words_with_one_ending_are_told_apart(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    learn = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1][:60]
+    pairs = ["red green blue red green blue red xaing blue", "cat bird dog cat bird dog cat yoing dog"]
+    docs = [(i, pairs[k % 2]) for k, i in enumerate(learn)] + [(held[0], "red xaing blue"), (held[1], "red yoing blue")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in classlm.lm_scores(df, frequent=6, classes=8).collect()}
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 0.5
+
+
+def test_classes_of_all_words_against_brute_force(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    marked = classlm._marked(df.repartition(5).localCheckpoint(), 5, 1)
+    model = classlm.start(marked, 50, 8)
+    dealt = textkit.written(classlm.deal(marked, model, 3), "pieces")
+    got = {}
+    for r in classlm.class_texts(dealt, classlm.word_classes(dealt, model, 3), model).collect():
+        at = np.frombuffer(r.toff, "<i8")
+        got |= {i: np.frombuffer(r.cls, np.uint8)[a:b].tolist() for i, a, b in zip(r.docs, at[:-1], at[1:], strict=True)}
+    texts, counts = {}, collections.defaultdict(lambda: np.zeros((2, 8)))
+    end = model.cls[model.units.of(np.array([classlm.END]), np.zeros(1, np.int64))[0]]
+    for i, t in df.collect():
+        h, tail, _ = classlm.token_hashes(*textkit.flat(pa.array([t], pa.string())))
+        texts[i] = h, c = h, [int(x) for x in model.cls[model.units.of(h, tail)]]
+        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+            for w, a, b in zip(h, [end, *c[:-1]], [*c[1:], end], strict=True):
+                counts[w][0, a] += 1
+                counts[w][1, b] += 1
+    own = {w: int(classlm.best_classes(x[:1], x[1:], model)[0]) for w, x in counts.items() if w not in set(model.units.words)}
+    assert len(own) > 1000
+    assert got == {i: [own.get(w, k) for w, k in zip(h, c, strict=True)] for i, (h, c) in texts.items()}
+
+
 def test_exchange_improves_likelihood():
     r = np.random.default_rng(1)
     n, k = 40, 4
