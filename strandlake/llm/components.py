@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import written
+from .textkit import discard, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     now = written(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
-        now = written(_small(_large(now)).distinct(), "edges")
+        old, now = now, written(_small(_large(now)).distinct(), "edges")
+        discard(old)
         sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sign == before:
             break

@@ -137,7 +137,17 @@ def written(df, name: str):
     path = shared_dir(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames) -> None:
+    """Deletes what `written` wrote; nothing may read these frames any more."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def id_column(batch: pa.RecordBatch, name: str = "doc_id") -> pa.Array:

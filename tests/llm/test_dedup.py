@@ -126,19 +126,95 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize(("n", "percent", "small"), [(4, 85, 24), (5, 80, 24), (4, 85, 4)])
-def test_classes_against_brute_force(spark, copies, monkeypatch, n, percent, small):
-    monkeypatch.setattr(jaccard, "SMALL", small)
+@pytest.mark.parametrize(("n", "percent", "frequent"), [(4, 85, 256), (5, 80, 256), (4, 85, 2)])
+def test_classes_against_brute_force(spark, copies, monkeypatch, n, percent, frequent):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     df = spark.createDataFrame([(i, t, 0) for i, t in copies], "doc_id long, text string, key int")
     assert sorted((tuple(r) for r in jaccard.similarity_classes(df, n, percent).collect()), key=str) == brute_classes(copies, n, percent)
 
 
-def test_classes_by_pivots(spark, copies, monkeypatch):
-    monkeypatch.setattr(jaccard, "GROUP", 24)
-    monkeypatch.setattr(jaccard, "SHARE", 10)
-    rows = [(i, t) for i, t in copies if t and len(t.split()) in (40, 120)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((tuple(r) for r in jaccard.similarity_classes(df, 4, 85).collect()), key=str) == brute_classes(rows, 4, 85)
+def test_classes_of_groups_beyond_a_task(spark, copies, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUDGET", 4000)
+    monkeypatch.setattr(jaccard, "DRAWN", 3000)
+    df = spark.createDataFrame(copies, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard.similarity_classes(df, 4, 85).collect()), key=str) == brute_classes(copies, 4, 85)
+
+
+def near_sets(seed, clusters=6, members=60):
+    r = np.random.default_rng(seed)
+    sets = []
+    for _ in range(clusters):
+        base = r.integers(0, 2**63, int(r.integers(20, 200)), dtype=np.uint64)
+        for _ in range(members):
+            own = base[r.random(len(base)) > r.choice([0.01, 0.05, 0.1])]
+            sets.append(np.unique(np.concatenate([own, r.integers(0, 2**63, int(r.integers(0, 8)), dtype=np.uint64)])))
+            if r.random() < 0.1:
+                base = sets[-1]
+    return sets
+
+
+def brute_links(sets, percent):
+    classes = jaccard.Classes(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                classes.join(np.array([i]), np.array([j]))
+    return classes.of.tolist()
+
+
+@pytest.mark.parametrize("direct", [4, 30, 192])
+def test_voronoi_regions_find_all_links(monkeypatch, direct):
+    monkeypatch.setattr(jaccard, "DIRECT", direct)
+    for seed in range(3):
+        sets = near_sets(seed)
+        assert jaccard.Space(sets, 85).links().tolist() == brute_links(sets, 85)
+
+
+def test_intersections_by_either_way():
+    sets = near_sets(9, 3, 40)
+    space, rows = jaccard.Space(sets, 85), np.arange(120)
+    for pivots in (rows[:2], rows):
+        got = space.both(pivots, rows)
+        for k, p in enumerate(pivots):
+            for j in rows:
+                assert p == j or got[k, j] == len(np.intersect1d(sets[p], sets[j]))
+
+
+@pytest.mark.parametrize(("small", "pairs"), [(32, 1 << 20), (4, 1 << 20), (4, 8)])
+def test_region_groups_hold_all_that_agree(monkeypatch, small, pairs):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    r = np.random.default_rng(4)
+    for most in (2, 5, 8):
+        base = r.integers(0, 6, (5, 12)).astype(np.uint8)
+        x = np.where(r.random((150, 12)) < 0.3, r.integers(0, 6, (150, 12)), base[r.integers(0, 5, 150)]).astype(np.uint8)
+        least = -(-most * 185 // 30)  # so that two such sets may differ in `most` shingles
+        size, key, rid = r.integers(least, least + 2, 150), np.arange(150) - 70, np.sort(r.integers(0, 3, 150)).astype(np.uint64)
+        brute = jaccard.Classes(150)
+        for i in range(150):
+            for j in range(i):
+                if rid[i] == rid[j] and 100 * min(size[i], size[j]) >= 85 * max(size[i], size[j]) and (x[i] != x[j]).sum() <= (size[i] + size[j]) * 15 // 185:
+                    brute.join(np.array([i]), np.array([j]))
+        got = jaccard.Classes(150)
+        node, least = jaccard.region_groups(rid, key, size, x, 12 - int((2 * size.max()) * 15 // 185), 85)
+        got.join(node + 70, least + 70)
+        for i in np.flatnonzero(brute.of != np.arange(150)).tolist():
+            assert got.of[i] == got.of[brute.of[i]]
+
+
+def test_rows_without_an_id_stay_linear(spark):
+    r = random.Random(7)
+    rows = []
+    for k in range(500):
+        base = [f"w{r.randint(0, 5000)}" for _ in range(40)]
+        for _ in range(2):
+            rows.append((None if k % 2 else 7, " ".join([*base, f"x{len(rows)}"])))
+    rows += [(None, rows[1][1])] * 300
+    join = jaccard.Join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    texts = join.fetched(join.groups())
+    assert texts.count() == texts.select("key").distinct().count() <= 1000
+    assert sorted((tuple(x) for x in join.classes().collect()), key=str) == brute_classes(rows, 4, 85)
 
 
 def test_no_classes(spark):
@@ -216,7 +292,7 @@ def test_pipeline_edges(spark, sf_dir):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row long")
     kept = corpus_pipeline.jaccard_join(spark, df, sf_dir)
     got = collections.Counter(r.doc_id for r in kept.collect())
-    assert kept.columns == df.columns and got == {1: 1, 2: 1, 3: 1, None: 2}
+    assert kept.columns == df.columns and got == {1: 1, 2: 1, 3: 1, None: 1}
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, df, sf_dir).count()
         assert stage(spark, df.limit(0), sf_dir).count() == 0
