@@ -6,9 +6,6 @@ before kept. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
 from strandlake.llm import decontaminate, jaccard, packing, pii, quality
 from strandlake.llm.textkit import written
 
@@ -19,19 +16,8 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def jaccard_join(spark, docs, sf_dir):
-    """One document of each group of near copies (five words a shingle, 0.8): the one with the least id.
-
-    Rows with an equal id count as copies; one of them, the first by text, stays.
-    Rows without an id cannot be chosen by it: each distinct text of theirs stays.
-    """
-    classes = jaccard.similarity_classes(docs, 5, 80)
-    names = iter(f"_jaccard_{i}" for i in range(len(docs.columns) + 2))
-    key, rank = [n for n in names if n not in docs.columns][:2]
-    id_or = lambda c: F.coalesce(c.cast("long"), F.lit(jaccard.NO_ID))
-    keep = classes.where("doc_id is null or doc_id = component_id").select(id_or(F.col("doc_id")).alias(key)).distinct()
-    same = W.partitionBy(key, F.when(F.col("doc_id").isNull(), F.col("text"))).orderBy(*(F.col(f"`{c}`") for c in ("text", *docs.columns)))
-    kept = docs.withColumn(key, id_or(F.col("doc_id"))).join(keep, key, "left_semi").withColumn(rank, F.row_number().over(same))
-    return kept.where(F.col(rank) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One document of each group of near copies (five words a shingle, 0.8): the one with the least id."""
+    return jaccard.one_of_each(docs, 5, 80)
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
@@ -50,7 +36,7 @@ def vector_packing(spark, docs, sf_dir):
 
 
 STAGES = [("quality_rules", quality_rules), ("jaccard_join", jaccard_join), ("benchmark_decontamination", benchmark_decontamination), ("pii_pseudonyms", pii_pseudonyms), ("vector_packing", vector_packing)]
-#: Trees, pseudonyms and packing are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
+#: Trees, pseudonyms and packing are beyond SQL; tests/llm/test_dedup.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
