@@ -7,6 +7,9 @@ selection, gather / scatter / permute, joins and searches on sorted data, bulk
 edits, intervals and sparse products. Each is a composition of built-in
 operators; where a global order is needed, `scan.segmented_scan` numbers rows
 without bringing them into one task.
+
+A column that bears the name of a result column (bucket, dest, rn, copy, the
+`out` of a scan, ...) is replaced by the result.
 """
 
 from __future__ import annotations
@@ -54,8 +57,8 @@ def validate_exchange(table: DataFrame, sent: DataFrame, received: DataFrame) ->
 
 def numbered(df: DataFrame, order: list[str], out: str = "rn", segment: list[str] | None = None) -> DataFrame:
     """df with a row number from 0 in the order given (which must be total), by segment."""
-    one = df.withColumn("_one", F.lit(1).cast("long"))
-    return segmented_scan(one, segment or [], order, "_one", out, inclusive=False).drop("_one")
+    one = df.withColumn("__one", F.lit(1).cast("long"))
+    return segmented_scan(one, segment or [], order, "__one", out, inclusive=False).drop("__one")
 
 
 def distributed_merge(a: DataFrame, b: DataFrame, order: list[str]) -> DataFrame:
@@ -71,7 +74,7 @@ def remerge(df: DataFrame, range_col: str, order: list[str]) -> DataFrame:
 def kselect(df: DataFrame, order: list[str], k: int) -> DataFrame:
     """The k-th row (from 0) in the order given; none beyond the end.
 
-    Rows are counted by the ranges of a sort; only the range that holds k is looked at.
+    All rows are sorted by ranges and numbered; the other rows are left out after that.
     """
     return numbered(df, order).where(F.col("rn") == k).drop("rn")
 
@@ -117,7 +120,8 @@ def transform_lbs(segments: DataFrame, segment: str, count: str, f) -> DataFrame
 
 def workcreate(df: DataFrame, count: Column) -> DataFrame:
     """Each row `count` times, with the number of the copy; rows with 0 or less vanish."""
-    return df.withColumn("_n", count.cast("long")).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
+    times = count.cast("long")
+    return df.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
 
 
 # --- scans and selection
@@ -137,16 +141,16 @@ def compact(df: DataFrame, flag: Column) -> DataFrame:
 
 
 def heads(df: DataFrame, segment: list[str], order: list[str], value: str) -> DataFrame:
-    """df with head: whether `value` differs from the row before in the segment (the first always)."""
-    before = F.lag(value).over(W.partitionBy(*segment).orderBy(*order))
-    return df.withColumn("head", before.isNull() | (before != F.col(value)))
+    """df with head: whether `value` differs from the row before in the segment (the first always); null equals null."""
+    w = W.partitionBy(*segment).orderBy(*order)
+    return df.withColumn("head", F.lag(F.lit(1)).over(w).isNull() | ~F.lag(value).over(w).eqNullSafe(F.col(value)))
 
 
 def neighbours_differ(df: DataFrame, segment: list[str], order: list[str], value: str) -> DataFrame:
-    """df with unique: whether `value` differs from both neighbours in the segment."""
+    """df with unique: whether `value` differs from both neighbours in the segment; null equals null."""
     w = W.partitionBy(*segment).orderBy(*order)
-    before, after = F.lag(value).over(w), F.lead(value).over(w)
-    return df.withColumn("unique", ~F.coalesce(before == F.col(value), F.lit(False)) & ~F.coalesce(after == F.col(value), F.lit(False)))
+    same = lambda f: f(F.lit(1)).over(w).isNotNull() & f(value).over(w).eqNullSafe(F.col(value))
+    return df.withColumn("unique", ~same(F.lag) & ~same(F.lead))
 
 
 def write_if_eq(df: DataFrame, column: str, old, new) -> DataFrame:
@@ -185,13 +189,14 @@ def sorted_search(needles: DataFrame, needle: str, haystack: DataFrame, key: str
     """needles with place: how many keys are smaller (lower) or not greater (upper).
 
     Needles and keys are sorted together once; a running count of keys is each
-    needle's place, so neither side is sent out whole.
+    needle's place, so neither side is sent out whole. A null needle has a null
+    place; null keys are not counted.
     """
     first = 1 if bound == "lower" else 0  # keys after equal needles, or before
-    hay = haystack.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")).select("_k", "_n", F.lit(first).alias("_order"))
-    own = needles.select(F.col(needle).alias("_k")).distinct().select("_k", F.lit(0).cast("long").alias("_n"), F.lit(1 - first).alias("_order"))
+    hay = haystack.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")).select("_k", "_n", F.lit(first).alias("_order"))
+    own = needles.select(F.col(needle).alias("_k")).where("_k is not null").distinct().select("_k", F.lit(0).cast("long").alias("_n"), F.lit(1 - first).alias("_order"))
     at = segmented_scan(hay.unionByName(own), [], ["_k", "_order"], "_n", "place").where(F.col("_order") == 1 - first)
-    return needles.join(at.select(F.col("_k").alias(needle), "place"), needle)
+    return needles.join(at.select(F.col("_k").alias(needle), "place"), needle, "left")
 
 
 def bulk_insert(df: DataFrame, position: str, inserts: DataFrame, before: str) -> DataFrame:

@@ -222,7 +222,13 @@ STRATEGIES = {"local": _local, "doubling": _doubling, "dc3": merge_by_counting,
 
 
 def suffix_array(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", strategy: str = "local") -> DataFrame:
-    """(id, rank, pos): suffix `pos` is the rank-th of its text, from 0."""
+    """(id, rank, pos): suffix `pos` is the rank-th of its text, from 0.
+
+    `local` sorts each row's text alone, whatever its id. The other strategies
+    know a text by its id only, so null or repeated ids raise ValueError.
+    """
+    if strategy != "local" and not df.groupBy(F.col(id_col).alias("id")).count().where("id is null or count > 1").isEmpty():
+        raise ValueError(f"{strategy} needs distinct ids that are not null")
     return STRATEGIES[strategy](df, id_col, text_col)
 
 

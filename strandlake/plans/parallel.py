@@ -231,3 +231,22 @@ def interval_move(t):
 def sample_index_map(t):
     rows = t("lineitem").groupBy(F.col("l_orderkey").alias("p")).agg(F.count("*").alias("n")).withColumn("pos", sample_position(F.col("p")))
     return rows.select(sample_index(F.col("pos")).alias("p"), "pos", "n")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, k, sum(l_quantity) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_extendedprice, k ROWS UNBOUNDED PRECEDING) AS total FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_extendedprice, l_returnflag ORDER BY l_partkey, l_quantity) AS k FROM lineitem)")
+def scan_double(t):
+    """Doubles by a string segment; quantities are whole numbers, so any order of addition gives the same sum."""
+    rows = P.numbered(t("lineitem"), ["l_partkey", "l_quantity"], "k", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag"]).withColumn("k", F.col("k") + 1)
+    rows = rows.withColumn("q", F.col("l_quantity").cast("double"))
+    return P.inclusive_scan(rows, ["l_orderkey", "l_linenumber", "l_extendedprice", "k"], "q", "total", segment=["l_returnflag"]).select("l_orderkey", "l_linenumber", "l_extendedprice", "k", "total")
+
+
+@query("SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS rn FROM orders")
+def segmented_sort_string(t):
+    return P.segmented_sort(t("orders").select("o_orderstatus", "o_orderkey"), "o_orderstatus", ["o_orderkey"])
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 10 <> 0 THEN (SELECT count(*) FROM supplier WHERE s_acctbal < c_acctbal) END AS place FROM customer")
+def sorted_search_nulls(t):
+    needles = t("customer").select("c_custkey", F.when(F.col("c_custkey") % 10 != 0, F.col("c_acctbal")).alias("x"))
+    return P.sorted_search(needles, "x", t("supplier").select("s_acctbal"), "s_acctbal").select("c_custkey", "place")

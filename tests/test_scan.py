@@ -1,11 +1,14 @@
 """Scans and merges over segments that span tasks."""
 
 import random
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.operators import primitives as P
 from strandlake.operators.scan import segmented_scan
+from strandlake.operators.suffix import suffix_array
 
 
 @pytest.mark.parametrize("kind", ["sum", "max"])
@@ -50,3 +53,53 @@ def test_kselect_and_split(spark):
     assert [P.kselect(df, ["v"], k).collect()[0].v for k in range(5)] == [1, 1, 3, 4, 5]
     assert P.kselect(df, ["v"], 5).count() == 0
     assert [tuple(r) for r in P.merge_path_split(df, df, ["v"], [3]).collect()] == [(3, 2, 1)]
+
+
+def test_scans_of_other_types(spark):
+    rows = [("a", 1, 0.5, Decimal("0.50")), ("a", 2, 0.75, Decimal("0.75")), ("a", 3, None, None), ("b", 4, 2.5, Decimal("-2.50")), (None, 5, 1e300, Decimal("1.00")), (None, 6, 1.0, Decimal("2.00"))]
+    df = spark.createDataFrame(rows, "s string, i long, x double, d decimal(10,2)")
+    got = {r.i: r.o for r in segmented_scan(df, ["s"], ["i"], "x", "o").collect()}
+    assert got == {1: 0.5, 2: 1.25, 3: 1.25, 4: 2.5, 5: 1e300, 6: 1e300 + 1}
+    got = {r.i: r.o for r in segmented_scan(df, ["s"], ["i"], "d", "o").collect()}
+    assert got == {1: Decimal("0.50"), 2: Decimal("1.25"), 3: Decimal("1.25"), 4: Decimal("-2.50"), 5: Decimal("1.00"), 6: Decimal("3.00")}
+    got = {r.i: r.o for r in segmented_scan(df, ["s"], ["i"], "x", "o", "max", False).collect()}
+    assert got == {1: None, 2: 0.5, 3: 0.75, 4: None, 5: None, 6: 1e300}
+    with pytest.raises(ValueError):
+        segmented_scan(df, [], ["i"], "s", "o")
+
+
+def test_least_long_is_a_maximum(spark):
+    df = spark.createDataFrame([(1, None), (2, -(2**63)), (3, None), (4, 5)], "i long, v long")
+    assert {r.i: r.o for r in segmented_scan(df, [], ["i"], "v", "o", "max").collect()} == {1: None, 2: -(2**63), 3: -(2**63), 4: 5}
+
+
+def test_segments_of_strings_span_tasks(spark):
+    rows = [("hot" if i % 3 else f"s{i % 5}", i) for i in range(2000)] + [(None, i) for i in range(2000, 2100)]
+    df = spark.createDataFrame(rows, "s string, i long").repartition(9)
+    at, want = {}, {}
+    for s, i in rows:
+        want[i] = at[s] = at.get(s, -1) + 1
+    assert {r.i: r.rn for r in P.segmented_sort(df, "s", ["i"]).collect()} == want
+
+
+def test_null_needles_and_neighbours(spark):
+    hay = spark.createDataFrame([(1,), (3,), (3,), (None,)], "k long")
+    got = {r.x: r.place for r in P.sorted_search(spark.createDataFrame([(None,), (3,), (9,)], "x long"), "x", hay, "k").collect()}
+    assert got == {None: None, 3: 1, 9: 3}
+    df = spark.createDataFrame([(0, 0, 1), (0, 1, None), (0, 2, None), (0, 3, 2)], "s long, i long, v long")
+    assert [r["head"] for r in P.heads(df, ["s"], ["i"], "v").orderBy("i").collect()] == [True, True, False, True]
+    assert [r["unique"] for r in P.neighbours_differ(df, ["s"], ["i"], "v").orderBy("i").collect()] == [True, False, False, True]
+
+
+def test_result_names_replace_columns(spark):
+    df = spark.createDataFrame([(3, "a", 2), (1, "b", 0)], "v long, rn string, _n long")
+    assert [(r.v, r.rn) for r in P.numbered(df, ["v"]).orderBy("v").collect()] == [(1, 0), (3, 1)]
+    assert [(r.v, r._n, r["copy"]) for r in P.workcreate(df, F.col("_n")).orderBy("copy").collect()] == [(3, 2, 0), (3, 2, 1)]
+
+
+def test_ids_must_tell_texts_apart(spark):
+    df = spark.createDataFrame([(1, "ab"), (1, "ba")], "doc_id long, text string")
+    for strategy in ("doubling", "dc3"):
+        with pytest.raises(ValueError):
+            suffix_array(df, strategy=strategy)
+    assert suffix_array(df).count() == 4
