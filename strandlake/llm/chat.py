@@ -21,10 +21,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END, LOSS_ROLE = "<|im_start|>", "<|im_end|>", "assistant"
@@ -88,34 +89,56 @@ PARTS = {"image": ImagePart, "audio": AudioPart, "document": DocumentPart}
 
 @dataclass
 class Flattener:
-    """Visits parts in order; `out` is the escaped text with placeholders `<|kind_n|>`, n from 0 in the conversation."""
+    """Visits parts in order; `out` is the escaped text with placeholders `<|kind_n|>`, n from 0 in the conversation.
+
+    Neighbouring texts are escaped as one, so that no control string can be
+    put together from several parts. `first`: the conversation's attachments
+    before the first part.
+    """
 
     patch: int = 28
     audio_rate: float = 25.0
     page_tokens: int = 256
     out: list[str] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
+    first: int = 0
+    held: list[str] = field(default_factory=list)
 
     def text(self, part: TextPart) -> None:
-        self.out.append(escape(part.text))
+        self.held.append(part.text)
+
+    def flush(self) -> None:
+        self.out.append(escape("".join(self.held)))
+        self.held = []
 
     def attach(self, kind: str, ref: str, tokens: int) -> None:
-        number = len(self.attachments)
+        self.flush()
+        number = self.first + len(self.attachments)
         self.out.append(f"<|{kind}_{number}|>")
         self.attachments.append({"number": number, "kind": kind, "ref": ref, "tokens": tokens})
 
     def take(self) -> str:
+        self.flush()
         found, self.out = "".join(self.out), []
         return found
 
 
 def part_of(value) -> TextPart | ImagePart | AudioPart | DocumentPart:
-    """A part from a str, a part or a dict such as {"type": "image", "ref": ..., "width": ...}."""
+    """A part from a str, a part or a dict such as {"type": "image", "ref": ..., "width": ...}.
+
+    Null fields have their defaults (a null ref is empty), fields of other
+    types are ignored; an unknown type raises ValueError.
+    """
     if value is None or isinstance(value, str):
         return TextPart(value or "")
     if isinstance(value, dict):
-        rest = {k: v for k, v in value.items() if k != "type"}
-        return TextPart(rest.get("text") or "") if value.get("type") == "text" else PARTS[value["type"]](**rest)
+        kind = value.get("type") or "text"
+        if kind == "text":
+            return TextPart(value.get("text") or "")
+        if kind not in PARTS:
+            raise ValueError(f"unknown part type {kind!r}")
+        own = {f.name: value[f.name] for f in fields(PARTS[kind]) if value.get(f.name) is not None}
+        return PARTS[kind](**{"ref": ""} | own)
     return value
 
 
@@ -149,24 +172,48 @@ def parse_turn(piece: str) -> tuple[str, str]:
     return unescape_role(head), unescape(body)
 
 
+CONTENT = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
+ATTACHMENTS = "array<struct<number:long,kind:string,ref:string,tokens:long>>"
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, piece, loss_start, loss_end: each row's marked turn.
 
+    Where turns have a column `content` (typed parts, as CONTENT or with fewer
+    fields), it takes the place of text in rows where it is not null, and each
+    row also has its attachments and expanded_tokens. Placeholders are numbered
+    through the conversation.
+
     A conversation's formatted text is its pieces end to end in the order of
     (turn, role, text); pieces stay rows, so a conversation of any length is
     never held in one value.
     """
+    typed = "content" in turns.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for role, text in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True):
-                found.append(format_turn(role, text, Flattener()))
+            found, more, none = [], [], [None] * b.num_rows
+            parts, before = (b.column("content").to_pylist(), b.column("before").to_pylist()) if typed else (none, none)
+            for role, text, content, first in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), parts, before, strict=True):
+                visitor = Flattener(first=first or 0)
+                found.append(format_turn(role, text if content is None else content, visitor))
+                more.append(visitor.attachments)
             c = list(zip(*found, strict=True)) if found else [[], [], []]
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), b.column("text"), pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64())], names=["conv_id", "turn", "role", "text", "piece", "loss_start", "loss_end"])
-
-    own = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return own.mapInArrow(rows, "conv_id long, turn long, role string, text string, piece string, loss_start long, loss_end long")
+            out = [b.column("conv_id"), b.column("turn"), b.column("role"), b.column("text"), pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64())]
+            if typed:
+                kind = pa.list_(pa.struct([("number", pa.int64()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
+                out += [pa.array(more, kind), pa.array([sum(a["tokens"] for a in m) for m in more], pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    own = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"), *(["content"] if typed else []))
+    names = ["conv_id", "turn", "role", "text", "piece", "loss_start", "loss_end"]
+    schema = "conv_id long, turn long, role string, text string, piece string, loss_start long, loss_end long"
+    if typed:
+        attached = F.coalesce(F.size(F.filter("content", lambda p: F.coalesce(p["type"], F.lit("text")) != "text")), F.lit(0))
+        earlier = W.partitionBy("conv_id").orderBy("turn", "role", "text", F.to_json("content")).rowsBetween(W.unboundedPreceding, -1)
+        own = own.withColumn("before", F.coalesce(F.sum(F.greatest(attached, F.lit(0))).over(earlier), F.lit(0)))
+        names, schema = [*names, "attachments", "expanded_tokens"], f"{schema}, attachments {ATTACHMENTS}, expanded_tokens long"
+    return own.mapInArrow(rows, schema)
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:

@@ -732,3 +732,16 @@ def one_of_each(docs: DataFrame, words_per: int = 5, percent: int = 80) -> DataF
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similarity_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM pairs JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * m >= 85 * (x.k + y.k - m)),
+e AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.v, r.c FROM r JOIN e ON r.doc_id = e.u)
+SELECT d.doc_id, coalesce(any_value(n.k), 0) AS n_shingles, coalesce(min(r.c), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
-ORACLE: dict[str, str] = {"op10_decontamination": decontaminate.OP10_SQL}
+ORACLE: dict[str, str] = {"op9_jaccard_join": jaccard.OP9_SQL, "op10_decontamination": decontaminate.OP10_SQL}
