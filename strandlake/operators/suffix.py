@@ -30,7 +30,7 @@ from ..session import settled
 from .scan import segmented_scan
 
 K = 16
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 # --- local kernel
@@ -47,45 +47,51 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def sort_suffixes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Positions (in data) of all suffixes, by text and then by order in it.
 
-    Keys start with seven bytes and a length, so shorter suffixes sort first
-    and end marks are not needed; ranks then double the depth. Only suffixes
-    that are not alone yet are sorted again.
+    A key is one number: the text, then as many bytes as fit, each as its place
+    among the bytes in use (0 behind the end, so shorter suffixes sort first
+    and end marks are not needed). Ranks then double the depth, and only
+    suffixes that are not alone yet are sorted again.
     """
-    n = int(off[-1])
+    n, counts = int(off[-1]), np.diff(off)
     if not n:
         return np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    left = off[1:][text] - np.arange(n)
-    key = np.zeros(n, np.uint64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    for j in range(7):
-        key = (key << np.uint64(8)) | np.where(left > j, padded[j : n + j], 0).astype(np.uint64)
-    key = (key << np.uint64(8)) | np.minimum(left, 7).astype(np.uint64)
-    sa = np.lexsort((key, text))
-    k, t = key[sa], text[sa]
+    texts = len(counts)
+    text = np.repeat(np.arange(texts), counts)
+    used = np.flatnonzero(np.bincount(data[:n], minlength=256))
+    code = np.zeros(256, np.uint64)
+    code[used] = np.arange(1, len(used) + 1)
+    bits = len(used).bit_length()
+    depth = (64 - texts.bit_length()) // bits
+    at = np.arange(n) + text * depth  # each text is followed by `depth` zeros
+    spaced = np.zeros(n + texts * depth + depth, np.uint64)
+    spaced[at] = code[data[:n]]
+    key = np.zeros(len(spaced) - depth, np.uint64)
+    for j in range(depth):
+        key = (key << np.uint64(bits)) | spaced[j : j + len(key)]
+    key = key[at] | (text.astype(np.uint64) << np.uint64(bits * depth))
+    sa = np.argsort(key)
+    key = key[sa]
     new = np.ones(n, bool)
-    new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+    new[1:] = key[1:] != key[:-1]
+    seg = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, np.int64)
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[sa] = head
-    h = 7
-    while True:
-        alone = new & np.r_[new[1:], True]
-        act = np.flatnonzero(~alone)
-        if not len(act):
-            return sa
-        rows = sa[act]
-        seg = head[act]
-        nxt = np.where(left[rows] > h, rank[np.minimum(rows + h, n - 1)] + 1, 0)
-        order = np.lexsort((nxt, seg))
-        rows, seg, nxt = rows[order], seg[order], nxt[order]
+    rank[sa] = seg
+    act = np.flatnonzero(~(new & np.r_[new[1:], True]))
+    rows, seg, end, h = sa[act], seg[act], off[1:][text], depth
+    while len(act):
+        to = rows + h
+        both = seg * (n + 2) + np.where(to < end[rows], rank[np.minimum(to, n - 1)] + 1, 0)
+        order = np.argsort(both)
+        rows, both = rows[order], both[order]
         sa[act] = rows
         fresh = np.ones(len(rows), bool)
-        fresh[1:] = (seg[1:] != seg[:-1]) | (nxt[1:] != nxt[:-1])
-        new[act] = fresh
-        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[sa[act]] = head[act]
+        fresh[1:] = both[1:] != both[:-1]
+        seg = np.maximum.accumulate(np.where(fresh, act, 0))
+        rank[rows] = seg
+        left = ~(fresh & np.r_[fresh[1:], True])
+        act, rows, seg = act[left], rows[left], seg[left]
         h *= 2
+    return sa
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:

@@ -146,3 +146,30 @@ def test_metrics(spark, tmp_path):
     r.write_csv(spark, f"file://{tmp_path}/m")
     r.write_json(spark, f"file://{tmp_path}/j")
     assert spark.read.json(f"file://{tmp_path}/j").count() == 2
+
+
+def long_texts():
+    import random
+
+    r, a, b = random.Random(11), b"a", b"ab"
+    while len(b) < 60_000:
+        a, b = b, b + a
+    word = [bytes(r.choices(b"abcdefgh", k=r.randint(2, 9))) for _ in range(500)]
+    return {"periodic": b"abc" * 20_000, "fibonacci": b, "words": b" ".join(r.choices(word, k=15_000)), "one_letter": b"z" * 30_000, "bytes": bytes(r.choices(range(256), k=60_000))}
+
+
+@pytest.mark.parametrize("name", sorted(long_texts()))
+def test_long_texts_are_in_order(name):
+    text = long_texts()[name]
+    sa = S.sort_suffixes(np.frombuffer(text, np.uint8), np.array([0, len(text)])).tolist()
+    assert sorted(sa) == list(range(len(text)))
+    assert all(text[i:] < text[j:] for i, j in zip(sa, sa[1:]))
+
+
+@pytest.mark.parametrize("strategy", ["doubling", "dc3"])
+def test_long_texts_by_all_strategies(spark, strategy):
+    rows = [(i, t[:8000]) for i, t in enumerate(long_texts().values())]
+    df = spark.createDataFrame(rows, "doc_id long, text binary")
+    got = {(r.doc_id, r["rank"]): r.pos for r in S.suffix_array(df, strategy=strategy).collect()}
+    want = {(r.doc_id, r["rank"]): r.pos for r in S.suffix_array(df).collect()}
+    assert got == want
