@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "strandlake-default-key"
+#: For the query, tests and the pipeline where no key is set. Whoever knows the key can undo the pseudonyms, and this one is public.
+DEMO_KEY = "strandlake-demo-key"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kind and pattern; the first that matches at a place wins.
@@ -209,16 +210,26 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 
 
 def _substitutes(text: Column, key: str) -> Column:
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(text.rlike("[0-9@]|AKIA"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     kinds = F.transform(found, lambda m: F.struct(m.alias("old"), _kind(m).alias("kind")))
     return F.transform(kinds, lambda s: F.struct(s["old"].alias("old"), s["kind"].alias("kind"), pseudonym(s["old"], s["kind"], key).alias("new")))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", found_col: str = "_pii_found") -> DataFrame:
+def secret_key(spark, default: str | None = None) -> str:
+    """The key in spark.strandlake.pii.key, or else `default`; ValueError where there is neither."""
+    key = spark.conf.get("spark.strandlake.pii.key", default)
+    if not key:
+        raise ValueError("set spark.strandlake.pii.key or give a key")
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text", found_col: str = "_pii_found") -> DataFrame:
     """docs with the text rewritten, and behind its columns what was matched: array of (old, kind, new).
 
     That column is called found_col, with underscores behind it where docs has such a column.
+    Without a key the session's is taken (`secret_key`).
     """
+    key = key or secret_key(docs.sparkSession)
     while found_col in docs.columns:
         found_col += "_"
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(f"`{text_col}`").alias("_text"))
@@ -229,7 +240,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", found_
     return marked.select(*(text.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns), F.col("_found").alias(found_col))
 
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with the text rewritten and n_chars, where there is such a column, counted again."""
     found = pseudonymise(docs, key)
     out = found.drop(found.columns[-1])
@@ -237,7 +248,7 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
-    out = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), secret_key(spark, DEMO_KEY))
     changed = F.filter("_pii_found", lambda s: s["old"] != s["new"])
     of = F.transform(changed, lambda s: s["kind"])
     counts = [(F.size(of) - F.size(F.array_remove(of, k))).cast("long").alias(f"n_{k}") for k in KINDS]

@@ -98,10 +98,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Learns P(quality = 1) from the `sample_rows` labelled rows with the least hash of their id.
 
     The sample is chosen among the labels, so its size bounds the broadcast
-    and what comes to the driver (a few numbers a row).
+    and what comes to the driver (a few numbers a row). Where a doc_id
+    repeats, its least text stands for it.
     """
     chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("long").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
     got = rows.mapInArrow(_feature_rows, "label long, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas().sort_values(["label", *FEATURES])
     return gbdt.fit(got[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), got["label"].to_numpy(float), MONOTONE)
 
