@@ -27,7 +27,7 @@ def benchmark_decontamination(spark, docs, sf_dir):
 
 def pii_pseudonyms(spark, docs, sf_dir):
     """All documents with pseudonyms for personal data."""
-    return pii.replace_pii(docs)
+    return pii.replace_pii(docs, pii.secret_key(spark, pii.DEMO_KEY))
 
 
 def vector_packing(spark, docs, sf_dir):
