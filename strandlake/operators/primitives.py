@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .scan import segmented_scan
 
+DRAWN = 4096  # keys that kselect draws for its bounds
+
 # --- partitioning and exchange
 
 
@@ -72,18 +74,53 @@ def remerge(df: DataFrame, range_col: str, order: list[str]) -> DataFrame:
 
 
 def kselect(df: DataFrame, order: list[str], k: int) -> DataFrame:
-    """The k-th row (from 0) in the order given; none beyond the end.
+    """The k-th row (from 0) in the order given, nulls first; none beyond the end or before the start.
 
-    All rows are sorted by ranges and numbered; the other rows are left out after that.
+    A sample of DRAWN keys gives two bounds around the k-th; one pass counts
+    what lies below and between, and only rows between are sorted. Where the
+    bounds miss or hold more than half of the rows (few distinct keys), all are.
     """
+    n = df.count()
+    if not 0 <= k < n:
+        return df.limit(0)
+    if n > 4 * DRAWN:
+        key = F.struct(*(F.col(f"`{c}`") for c in order))
+        names = [f"k{i}" for i in range(len(order))]
+        drawn = df.select(*(F.col(f"`{c}`").alias(a) for a, c in zip(names, order, strict=True))).sample(DRAWN / n, 17).orderBy(*names).limit(2 * DRAWN).collect()
+        at, margin = k * len(drawn) // n, 4 * int(len(drawn) ** 0.5) + 1
+        bound = lambda r: F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for v, c in zip(r, order, strict=True)))
+        low = key < bound(drawn[at - margin]) if at >= margin else F.lit(False)
+        high = key > bound(drawn[at + margin]) if at + margin < len(drawn) else F.lit(False)
+        below, above = df.agg(F.count_if(low), F.count_if(high)).first()
+        if below <= k < n - above and 2 * (below + above) >= n:
+            return numbered(df.where(~low & ~high), order).where(F.col("rn") == k - below).drop("rn")
     return numbered(df, order).where(F.col("rn") == k).drop("rn")
 
 
+def partition_points(sides: list[DataFrame], order: list[str], diagonals: list[int]) -> DataFrame:
+    """(diagonal, from_0, from_1, ...): how many of the first `diagonal` merged rows come from each of any number of sides.
+
+    An earlier side comes first on ties. The differences of two rows are the
+    counts that a merge with outputs of prescribed sizes takes from each side.
+    Diagonals of 0 or beyond the end give no row, repeated ones a single row.
+    """
+    ends = sorted({d for d in diagonals if d > 0})
+    both = sides[0].select(*order, F.lit(0).cast("long").alias("_side"))
+    for i, side in enumerate(sides[1:], 1):
+        both = both.unionByName(side.select(*order, F.lit(i).cast("long").alias("_side")))
+    if not ends:
+        both, ends = both.limit(0), [1]
+    upto = F.array(*(F.lit(d).cast("long") for d in ends))
+    first = F.size(F.filter(upto, lambda d: d <= F.col("rn")))  # the first diagonal that takes the row
+    counts = numbered(both, [*order, "_side"]).groupBy(first.alias("_i"), "_side").agg(F.count("*").alias("n")).where(F.col("_i") < len(ends))
+    taken = counts.select("_side", "n", F.explode(F.slice(upto, F.col("_i") + 1, len(ends))).alias("diagonal"))  # a row a diagonal and side
+    of = [F.coalesce(F.sum(F.when(F.col("_side") == i, F.col("n"))), F.lit(0)).cast("long").alias(f"from_{i}") for i in range(len(sides))]
+    return taken.groupBy("diagonal").agg(*of, F.sum("n").alias("_all")).where("_all = diagonal").drop("_all")
+
+
 def merge_path_split(a: DataFrame, b: DataFrame, order: list[str], diagonals: list[int]) -> DataFrame:
-    """(diagonal, from_a, from_b): how many of the first `diagonal` merged rows come from each side; a before b on ties."""
-    both = a.select(*order).withColumn("_side", F.lit(0).cast("long")).unionByName(b.select(*order).withColumn("_side", F.lit(1).cast("long")))
-    at = segmented_scan(numbered(both, [*order, "_side"]), [], ["rn"], "_side", "from_b", inclusive=True)
-    return at.where((F.col("rn") + 1).isin(diagonals)).select((F.col("rn") + 1).alias("diagonal"), (F.col("rn") + 1 - F.col("from_b")).alias("from_a"), "from_b")
+    """(diagonal, from_a, from_b): partition_points of two sides; a before b on ties."""
+    return partition_points([a, b], order, diagonals).withColumnsRenamed({"from_0": "from_a", "from_1": "from_b"})
 
 
 # --- segments

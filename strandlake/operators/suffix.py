@@ -31,6 +31,8 @@ from .scan import segmented_scan
 
 K = 16
 SLICE_BYTES = 1 << 18
+BLOCK = 1 << 16  # bytes of a joined text that one row holds
+FEW = 1 << 17  # active rows (of some 32 bytes) that are sent to all executors
 
 
 # --- local kernel
@@ -143,6 +145,17 @@ def fetch_ranks(active: DataFrame, isa: DataFrame, id_col: str, h: int) -> DataF
     return active.join(ahead, [id_col, "pos"], "left").withColumn("rank_h", F.coalesce("_r", F.lit(0))).drop("_r")
 
 
+def fetch_ranks_of_few(active: DataFrame, isa: DataFrame, ends: DataFrame, id_col: str, h: int) -> DataFrame:
+    """fetch_ranks where the active rows are few enough to be sent out: isa is scanned where it lies.
+
+    An inner join, as an outer one cannot send out its outer side. Active rows
+    share h bytes with another, so none lies further than h before its text's
+    end: ends (id, pos = the text's length, rank 0) stands for what is there.
+    """
+    ahead = isa.unionByName(ends).select(id_col, (F.col("pos") - h).alias("pos"), F.col("rank").alias("rank_h"))
+    return ahead.join(F.broadcast(active), [id_col, "pos"]).select(*active.columns, "rank_h")
+
+
 def rebucket(rows: DataFrame, id_col: str) -> DataFrame:
     """(id, pos, rank, n) where equal (rank, rank_h) share a new bucket inside the old one."""
     groups = rows.groupBy(id_col, "rank", "rank_h").agg(F.count("*").alias("n"))
@@ -157,24 +170,69 @@ def compact(rows: DataFrame) -> DataFrame:
 
 
 def doubled_ranks(rows: DataFrame, id_col: str, h: int, recorder: Recorder | None = None) -> DataFrame:
-    """(id, pos, rank), all ranks distinct, for rows (id, pos, key) with keys of h bytes."""
+    """(id, pos, rank), all ranks distinct, for rows (id, pos, key) with keys of h bytes.
+
+    The recorder gets each round's rows that still tie and, as the stage
+    `segments`, the number of buckets they are in.
+    """
     recorder = recorder or Recorder()
-    with recorder.stage("initial_ranks"):
+    with recorder.stage("initial_ranks") as note:
         now = settled(initial_ranks(rows, id_col), "ranks")
+        left, note["rows"] = _tied(now, recorder, 0), now.count()
+    ends = rows.groupBy(id_col).agg(F.max(F.col("pos") + F.length("key")).alias("pos")).withColumn("rank", F.lit(0).cast("long"))
+    ends = settled(ends, "ends") if left else ends
     done = now.where("n = 1").select(id_col, "pos", "rank")
     active = compact(now)
     step = 0
-    while not active.isEmpty():
+    while left:
         step += 1
-        with recorder.stage("doubling", step):
-            isa = done.union(active.select(id_col, "pos", "rank"))
-            now = settled(rebucket(fetch_ranks(active, isa, id_col, h), id_col), "ranks")
-        done = settled(done.union(now.where("n = 1").select(id_col, "pos", "rank")), "done") if step % 4 == 0 else done.union(now.where("n = 1").select(id_col, "pos", "rank"))
+        with recorder.stage("doubling", step) as note:
+            isa = done.unionByName(active.select(id_col, "pos", "rank"))
+            found = fetch_ranks_of_few(active, isa, ends, id_col, h) if left <= FEW else fetch_ranks(active, isa, id_col, h)
+            now = settled(rebucket(found, id_col), "ranks")
+            note["rows"], left = left, _tied(now, recorder, step)
+        done = done.unionByName(now.where("n = 1").select(id_col, "pos", "rank"))
+        done = settled(done, "done") if step % 4 == 0 else done
         active = compact(now)
         h *= 2
     return done
 
 
+def _tied(now: DataFrame, recorder: Recorder, step: int) -> int:
+    """How many rows share their bucket; the number of their buckets goes to the recorder."""
+    left, segments = compact(now).agg(F.count("*"), F.sum(1 / F.col("n"))).first()
+    recorder.found.append(("segments", step, 0.0, round(segments or 0)))
+    return left
+
+
+def joined_suffixes(df: DataFrame, order: list[str], text_col: str, separator: str = "\n", size: int = K, block: int = BLOCK) -> DataFrame:
+    """(doc_id = 0, pos, key): the suffixes of one text, all rows in the order given with a separator behind each.
+
+    The text is never one value. A running sum of lengths places the rows, and
+    each goes in slices to the blocks that it overlaps, a block being followed
+    by the first size - 1 bytes of the next, so a key may span any number of
+    rows. Null texts count as empty; the order must be total.
+    """
+    data = F.concat(as_bytes(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), as_bytes(F.lit(separator)))
+    placed = df.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)), data.alias("b")).withColumn("n", F.length("b").cast("long")).where("n > 0")
+    placed = segmented_scan(placed, [], [f"k{i}" for i in range(len(order))], "n", "at", inclusive=False)
+    first = F.floor(F.greatest(F.col("at") - (size - 1), F.lit(0)) / block).cast("long")
+    parts = placed.select("b", "at", "n", F.explode(F.sequence(first, F.floor((F.col("at") + F.col("n") - 1) / block).cast("long"))).alias("blk"))
+    start = F.greatest(F.col("blk") * block - F.col("at"), F.lit(0))
+    stop = F.least((F.col("blk") + 1) * block + (size - 1) - F.col("at"), F.col("n"))
+    cut = parts.select("blk", "at", F.substring("b", (start + 1).cast("int"), (stop - start).cast("int")).alias("s"))
+    whole = cut.groupBy("blk").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("r"))  # at most block + size bytes, by as many slices
+    text = whole.select("blk", F.aggregate("r", F.lit(b""), lambda acc, x: F.concat(acc, x["s"])).alias("_b"))
+    rows = text.select("blk", "_b", F.explode(F.sequence(F.lit(0), F.least(F.length("_b"), F.lit(block)) - 1)).alias("_p"))
+    return rows.select(F.lit(0).cast("long").alias("doc_id"), (F.col("blk") * block + F.col("_p")).alias("pos"), kmer(F.col("_b"), F.col("_p"), size).alias("key"))
+
+
+def joined_suffix_array(df: DataFrame, order: list[str], text_col: str, separator: str = "\n", recorder: Recorder | None = None) -> DataFrame:
+    """(rank, pos) of the suffixes of all rows as one text of any length (joined_suffixes)."""
+    ranks = doubled_ranks(settled(joined_suffixes(df, order, text_col, separator), "suffixes"), "doc_id", K, recorder)
+    return ranks.select((F.col("rank") - 1).alias("rank"), "pos")
+
+
 def _doubling(df: DataFrame, id_col: str, text_col: str, recorder: Recorder | None = None) -> DataFrame:
     ranks = doubled_ranks(suffixes(df, id_col, text_col), id_col, K, recorder)
     return ranks.select(id_col, (F.col("rank") - 1).alias("rank"), "pos")

@@ -65,6 +65,11 @@ def sa_global_names(spark, sf_dir: str) -> DataFrame:
     return S.suffix_array(one, strategy="doubling")
 
 
+def sa_global_parts(spark, sf_dir: str) -> DataFrame:
+    """One text of all rows of part, which grows with the table."""
+    return S.joined_suffix_array(spark.read.parquet(f"{sf_dir}/part.parquet"), ["p_partkey"], "p_name")
+
+
 def kmer_rank(spark, sf_dir: str) -> DataFrame:
     return S.initial_ranks(S.suffixes(texts(spark, sf_dir, "benchmark"), "doc_id", "text", STEP), "doc_id")
 
@@ -104,7 +109,7 @@ def sample_s0(spark, sf_dir: str) -> DataFrame:
     return P.numbered(rows, ["c0", "r1"], "rank", ["doc_id"]).select("doc_id", "pos", "rank")
 
 
-QUERIES = {"sa_documents": sa_documents, "bwt_documents": bwt_documents, "sa_global_names": sa_global_names, "kmer_rank": kmer_rank, "initial_buckets": initial_buckets, "compact_nonunique": compact_nonunique, "fetch_rank_h": fetch_rank_h, "rebucket_h": rebucket_h, "isa_delta": isa_delta, "sample_s12": sample_s12, "sample_s0": sample_s0}
+QUERIES = {"sa_documents": sa_documents, "bwt_documents": bwt_documents, "sa_global_names": sa_global_names, "sa_global_parts": sa_global_parts, "kmer_rank": kmer_rank, "initial_buckets": initial_buckets, "compact_nonunique": compact_nonunique, "fetch_rank_h": fetch_rank_h, "rebucket_h": rebucket_h, "isa_delta": isa_delta, "sample_s12": sample_s12, "sample_s0": sample_s0}
 ORACLE: dict[str, str] = {}
 
 
@@ -132,6 +137,7 @@ _f = f"{_k}, f AS (SELECT a.doc_id, a.pos, a.rank, coalesce(b.rank, 0) AS rank_h
 _r = f"{_f}, g AS (SELECT doc_id, pos, rank AS old, rank + rank() OVER (PARTITION BY doc_id, rank ORDER BY rank_h) - 1 AS rank, count(*) OVER (PARTITION BY doc_id, rank, rank_h) AS n FROM f)"
 ORACLE |= {
     "sa_global_names": _scaffold("SELECT CAST(0 AS BIGINT) AS doc_id, hex(encode(string_agg(p_name, chr(10) ORDER BY p_name))) AS x FROM (SELECT DISTINCT p_name FROM part)") + " SELECT doc_id, rank, pos FROM r",
+    "sa_global_parts": _scaffold("SELECT CAST(0 AS BIGINT) AS doc_id, hex(encode(string_agg(p_name || chr(10), '' ORDER BY p_partkey))) AS x FROM part") + " SELECT rank, pos FROM r",
     "kmer_rank": f"{_k} SELECT doc_id, pos, rank, n FROM k",
     "initial_buckets": f"{_k} SELECT DISTINCT doc_id, rank, n FROM k",
     "compact_nonunique": f"{_k} SELECT doc_id, pos, rank, n FROM k WHERE n > 1",

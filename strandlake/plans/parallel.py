@@ -72,6 +72,12 @@ def merge_path_split(t):
     return P.merge_path_split(t("orders").select(F.col("o_orderkey").alias("key")), t("lineitem").select(F.col("l_orderkey").alias("key")), ["key"], DIAGONALS)
 
 
+@query("SELECT rn AS diagonal, from_0, from_1, from_2 FROM (SELECT row_number() OVER w AS rn, count(*) FILTER (WHERE side = 0) OVER w AS from_0, count(*) FILTER (WHERE side = 1) OVER w AS from_1, count(*) FILTER (WHERE side = 2) OVER w AS from_2 FROM (SELECT o_orderkey AS key, 0 AS side FROM orders UNION ALL SELECT l_orderkey, 1 FROM lineitem UNION ALL SELECT p_partkey, 2 FROM part) WINDOW w AS (ORDER BY key, side ROWS UNBOUNDED PRECEDING)) WHERE rn IN (1, 100, 1000, 5000, 20000)")
+def partition_points(t):
+    sides = [t("orders").select(F.col("o_orderkey").alias("key")), t("lineitem").select(F.col("l_orderkey").alias("key")), t("part").select(F.col("p_partkey").alias("key"))]
+    return P.partition_points(sides, ["key"], DIAGONALS)
+
+
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events")
 def segmented_sort(t):
     return P.segmented_sort(t("events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"]).drop("ts")

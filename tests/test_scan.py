@@ -103,3 +103,35 @@ def test_ids_must_tell_texts_apart(spark):
         with pytest.raises(ValueError):
             suffix_array(df, strategy=strategy)
     assert suffix_array(df).count() == 4
+
+
+def test_kselect_by_bounds(spark):
+    """Beyond the sample's size: bounds, ties, nulls, few distinct keys, strings."""
+    rows = [(None if i % 97 == 0 else (i * 7919) % 5003, f"s{i % 3}", i) for i in range(9000)]
+    df = spark.createDataFrame(rows, "v long, s string, i long")
+    for order in (["v", "i"], ["s", "i"], ["i"]):
+        at = ["vsi".index(c) for c in order]
+        key = lambda r: [(r[c] is not None, r[c] or 0) if c != 1 else r[c] for c in at]  # noqa: E731, B023
+        want = sorted(rows, key=key)
+        for k in (0, 50, 4500, 8999):
+            assert tuple(P.kselect(df, order, k).first()) == want[k]
+    assert P.kselect(df, ["s"], 5000).first().s == "s1"
+    assert P.kselect(df, ["v"], 9000).count() == P.kselect(df, ["v"], -1).count() == 0
+
+
+def test_kselect_sorts_only_what_lies_between(spark, monkeypatch):
+    seen, numbered = [], P.numbered
+    monkeypatch.setattr(P, "numbered", lambda df, order: seen.append(df.count()) or numbered(df, order))
+    df = spark.range(100000).select((F.col("id") * 7919 % 100003).alias("v"))
+    want = sorted(i * 7919 % 100003 for i in range(100000))
+    assert P.kselect(df, ["v"], 60000).first().v == want[60000]
+    assert seen[0] < 20000
+
+
+def test_partition_points(spark):
+    sides = [[1, 1, 4], [1, 2, 9, 9], [], [0, 2, 9]]
+    dfs = [spark.createDataFrame([(v,) for v in s], "v long") for s in sides]
+    merged = sorted((v, i) for i, s in enumerate(sides) for v in s)
+    got = {r[0]: tuple(r[1:]) for r in P.partition_points(dfs, ["v"], [0, 3, 3, 7, 10, 11]).collect()}
+    assert got == {d: tuple(sum(i == side for _, i in merged[:d]) for side in range(4)) for d in (3, 7, 10)}
+    assert P.partition_points(dfs, ["v"], []).count() == 0

@@ -173,3 +173,31 @@ def test_long_texts_by_all_strategies(spark, strategy):
     got = {(r.doc_id, r["rank"]): r.pos for r in S.suffix_array(df, strategy=strategy).collect()}
     want = {(r.doc_id, r["rank"]): r.pos for r in S.suffix_array(df).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("few", [0, S.FEW])
+def test_joined_rows_are_one_text(spark, monkeypatch, few):
+    """Keys over many rows and blocks; looked up by shuffled and by broadcast joins."""
+    from strandlake.metrics import Recorder
+
+    monkeypatch.setattr(S, "FEW", few)
+    r = random.Random(3)
+    texts = [r.choice(["", None, "ab", "abab", "b" * 40, "abcabc" * 20, "\u00e9a"]) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "n long, t string, key string")
+    whole = b"".join((t or "").encode() + b"\n" for t in texts)
+    rows = {(x.pos, bytes(x.key)) for x in S.joined_suffixes(df, ["n"], "t", block=32).collect()}
+    assert rows == {(p, whole[p : p + S.K]) for p in range(len(whole))}
+    note = Recorder()
+    got = [x.pos for x in S.joined_suffix_array(df, ["n"], "t", recorder=note).orderBy("rank").collect()]
+    assert got == naive(whole)
+    ties = [n for stage, _, _, n in note.found if stage == "segments"]
+    assert ties[0] > 0 and ties[-1] == 0 and all(n is not None for *_, n in note.found)
+    assert S.joined_suffix_array(df.limit(0), ["n"], "t").count() == 0
+
+
+@pytest.mark.parametrize("strategy", ["doubling", "dc3"])
+def test_ranks_by_broadcast_and_shuffle_agree(spark, texts, monkeypatch, strategy):
+    monkeypatch.setattr(S, "FEW", 0)
+    df = spark.createDataFrame(texts, "doc_id long, text binary")
+    want = {(i, k, p) for i, t in texts if t for k, p in enumerate(naive(t))}
+    assert {tuple(r) for r in S.suffix_array(df, strategy=strategy).collect()} == want
