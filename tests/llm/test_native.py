@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from datetime import date, timedelta
 from pathlib import Path
 
 import pytest
@@ -77,6 +78,103 @@ def test_text_permutation_is_one_to_one(spark):
     assert r.n == 1000
 
 
+def test_ibans_end_where_their_country_says(spark):
+    own = ["ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "PL61 1090 1014 0000 0712 1981 2874"]
+    for behind in ("", " BIC x", " A", " GB82 WEST 1234 5698 7654 32", ", DE89"):
+        got = found(spark, [i + behind for i in own])
+        for k, i in enumerate(own):
+            s = got[k]._pii_found[0]
+            assert (s.old, s.kind) == (i, "iban") and s.new != i and got[k].text.startswith(s.new)
+            compact = s.new.replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+            assert len(got[k]._pii_found) == 1 + behind.startswith(" GB82")
+
+
+def plain(text, key):
+    """The pseudonyms by loops over plain strings and numbers."""
+    draw = lambda step, x: hashlib.sha256(f"{key}|{step}|{x}".encode()).hexdigest()
+    count = {"ip": (1 << 16, 1 << 16), "ssn": (898, 99 * 9999), "date": (17, 4297)}
+
+    def number(v, kind):
+        a, b = count[kind]
+        x, y = divmod(v, b)
+        for i in range(pii.ROUNDS):
+            x, y = ((x + int(draw(i, y)[:12], 16)) % a, y) if i % 2 == 0 else (x, (y + int(draw(i, x)[:12], 16)) % b)
+        return x * b + y
+
+    def moved(c, by):
+        for low, n in (("0", 10), ("a", 26), ("A", 26)):
+            if ord(low) <= ord(c) < ord(low) + n:
+                return chr(ord(low) + (ord(c) - ord(low) + by) % n)
+        return c
+
+    def chars(s):
+        left, right = s[: len(s) // 2], s[len(s) // 2 :]
+        for i in range(0, 2 * pii.ROUNDS, 2):
+            d = draw(i, right)
+            left, right = right, "".join(moved(c, int(d[2 * (j % 32) : 2 * (j % 32) + 2], 16)) for j, c in enumerate(left))
+        return left + right
+
+    def put(form, new, fits):
+        it = iter(new)
+        return "".join(next(it) if fits(c) else c for c in form)
+
+    def one(m):
+        m = m[0]
+        kind = next(k for k in pii.KINDS if re.fullmatch(pii.PATTERNS[k].replace(r"\2", r"\1"), m, re.A))
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "email":
+            name, at = m.split("@", 1)
+            return chars(name) + "@" + at
+        if kind == "aws":
+            return m[:4] + chars(m[4:])
+        if kind == "secret":
+            head = re.match(r"[A-Za-z_]+[\"']? ?[=:] ?[\"']?", m)[0]
+            return head + chars(m[len(head) :])
+        if kind == "iban":
+            s = m.replace(" ", "")
+            value = lambda t: int("".join(str(int(c, 36)) for c in t))
+            if value(s[4:] + s[:4]) % 97 != 1:
+                return m
+            rest = chars(s[4:])
+            return put(m, f"{s[:2]}{98 - value(rest + s[:2] + '00') % 97:02d}{rest}", lambda c: c != " ")
+        if kind == "phone":
+            keep = 1 if m.startswith("+1") else 2 if m.startswith("+") else 0
+            return put(m, digits[:keep] + chars(digits[keep:]), str.isdigit) if 7 <= len(digits) <= 15 else m
+        if kind == "card":
+            body = digits[0] + chars(digits[1:-1])
+            return put(m, next(body + c for c in "0123456789" if luhn(body + c)), str.isdigit) if luhn(digits) else m
+        if kind == "ssn":
+            a, b, c = map(int, m.split("-"))
+            v = number(((a - 1 - (a > 666)) * 99 + b - 1) * 9999 + c - 1, "ssn")
+            a = v // (99 * 9999) + 1
+            return f"{a + (a >= 666):03d}-{v // 9999 % 99 + 1:02d}-{v % 9999 + 1:04d}"
+        if kind == "ip":
+            return ".".join(map(str, number(int.from_bytes(map(int, m.split("."))), "ip").to_bytes(4)))
+        p = [int(x) for x in re.split("[-/.]", m)]
+        form = "{0:04d}-{1:02d}-{2:02d}" if "-" in m else "{2:02d}.{1:02d}.{0}" if "." in m else "{1:02d}/{2:02d}/{0}" if p[0] <= 12 else "{2:02d}/{1:02d}/{0}"
+        y, mo, d = p if "-" in m else (p[2], p[0], p[1]) if "/" in m and p[0] <= 12 else (p[2], p[1], p[0])
+        try:
+            day = (date(y, mo, d) - date(1900, 1, 1)).days
+        except ValueError:
+            return m
+        new = date(1900, 1, 1) + timedelta(number(day, "date")) if 1900 <= y <= 2099 else None
+        return form.format(new.year, new.month, new.day) if new else m
+
+    return re.sub(pii.PATTERN, one, text, flags=re.A)
+
+
+def test_pseudonyms_against_plain_python(spark, sf_dir):
+    path = Path(sf_dir).parent / "sf0.01"
+    docs = spark.read.parquet(f"{path if path.is_dir() else sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null")
+    got = pii.pseudonymise(docs.withColumn("old", F.col("text")), "k").select("old", "text").collect()
+    assert sum(r.old != r.text for r in got) > 10
+    assert all(plain(r.old, "k") == r.text for r in got)
+    extra = [*TEXTS, *(c for c in CLEAN if c), "01/02/1903 29.02.2000 2099-12-31 28/02/2001 30.02.2001 1899-12-31 665-01-0001 667-99-9999 899-01-9999 0.0.0.0 255.255.255.255"]
+    got = found(spark, extra)
+    assert [got[i].text for i in range(len(extra))] == [plain(t, "k") for t in extra]
+
+
 def test_pii_edges(spark):
     df = spark.createDataFrame([(None, TEXTS[0], 1, "x"), (1, TEXTS[0], 2, None), (1, TEXTS[0], 2, None), (2, None, None, None), (3, "x 42.144.35.254 " * 5000, 5, "")], "doc_id long, text string, n_chars long, _pii_found string")
     got = pii.replace_pii(df, "k")
