@@ -8,8 +8,10 @@ multiple of that size, so only these aligned blocks are looked up at first;
 documents without a hit are done. The others look up all their windows. The
 set holds the words themselves, so a hit is verified by the look-up.
 
-The hash set has a checked size: up to MAX_SET windows it is part of the plan
-on each executor; beyond that all windows are matched by a shuffled join.
+The hash set has a checked size: up to MAX_SET windows and MAX_BYTES of text
+it is part of the plan on each executor. Beyond that both steps are shuffled
+joins: the aligned blocks of all documents, together about as long as the text
+for each window size, and then the windows of the documents that hit.
 
 Defined results: a null text has no words; null item texts have no windows; a
 null item_id counts as the item "null"; repeated rows are judged one by one,
@@ -22,9 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import written
+
 WINDOW = 13
 #: Windows up to which the hash set is sent to all executors.
 MAX_SET = 100_000
+#: Bytes of text in them up to which it is.
+MAX_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -83,30 +89,45 @@ def mark_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_
     """(docs with `_n`, the number of words, `_row`, a number of the row, and `_spans`; the windows).
 
     _spans has (pos, size, win) of each window found, pos 1-based. With a
-    small hash set each row is done where it is read; else the windows of all
-    documents meet the benchmark's in a shuffled join.
+    small hash set each row is done where it is read; else see `_shuffled`.
     """
     if clash := {"_norm", "_n", "_row", "_spans"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} exist already; rename them first")
     wins = benchmark_windows(benchmark, window)
-    some = wins.select("win", "size").limit(max_set + 1).collect()  # at most max_set + 1 rows
-    small = len(some) <= max_set
-    sizes = sorted({r["size"] for r in some}) if small else sorted(r["size"] for r in wins.select("size").distinct().collect())  # at most `window` rows
+    n, size_of_all = wins.agg(F.count("*"), F.sum(F.octet_length("win"))).first()
+    small = n <= max_set and (size_of_all or 0) <= MAX_BYTES
     norm = F.col("_norm")
     rows = docs.withColumn("_norm", normalised(F.col("text"))).withColumn("_n", count_words(norm)).withColumn("_row", F.monotonically_increasing_id())
+    if not small:
+        return _shuffled(rows, wins), wins
+    some = wins.select("win", "size").collect()  # bounded by what was just checked
     hits = [F.array().cast(SPANS)]
-    for size in sizes:
-        if small:
-            own, block = sorted(r["win"] for r in some if r["size"] == size), (size + 1) // 2
-            hits.append(F.when(_any_in(blocks_of(norm, block), _blocks(own, block)), windows_of(norm, size, own)).otherwise(F.array().cast(SPANS)))
-        else:
-            hits.append(windows_of(norm, size))
-    rows = rows.withColumn("_spans", F.concat(*hits).cast(SPANS)).drop("_norm")
-    if small:
-        return rows, F.broadcast(wins)
-    hit = rows.select("_row", F.explode("_spans").alias("_s")).withColumn("_w", F.col("_s.win")).join(wins.select(F.col("win").alias("_w")), "_w", "left_semi")
-    hit = hit.groupBy("_row").agg(F.collect_list("_s").alias("_spans"))
-    return rows.drop("_spans").join(hit, "_row", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(SPANS))), wins
+    for size in sorted({r["size"] for r in some}):
+        own, block = sorted(r["win"] for r in some if r["size"] == size), (size + 1) // 2
+        hits.append(F.when(_any_in(blocks_of(norm, block), _blocks(own, block)), windows_of(norm, size, own)).otherwise(F.array().cast(SPANS)))
+    return rows.withColumn("_spans", F.concat(*hits).cast(SPANS)).drop("_norm"), F.broadcast(wins)
+
+
+def _shuffled(rows: DataFrame, wins: DataFrame) -> DataFrame:
+    """rows with `_spans`, by two semi-joins: aligned blocks, then the windows of rows and sizes that hit.
+
+    The numbered rows are written once, so that all branches see the same numbers.
+    """
+    rows = written(rows, "numbered")
+    spans = None
+    for size in sorted(r["size"] for r in wins.select("size").distinct().collect()):  # at most `window` rows
+        block = (size + 1) // 2
+        own = wins.where(F.col("size") == size)
+        words = F.split("win", " ")
+        known = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(size - block + 1)), lambda i: F.concat_ws(" ", F.slice(words, i, block)))).alias("_b")).distinct()
+        found = rows.select("_row", F.explode(blocks_of(F.col("_norm"), block)).alias("_b")).join(known, "_b", "left_semi").select("_row").distinct()
+        windows = rows.select("_row", "_norm").join(found, "_row", "left_semi").select("_row", F.explode(windows_of(F.col("_norm"), size)).alias("_s"))
+        hit = windows.withColumn("_w", F.col("_s.win")).join(own.select(F.col("win").alias("_w")), "_w", "left_semi").select("_row", "_s")
+        spans = hit if spans is None else spans.unionByName(hit)
+    if spans is None:
+        return rows.drop("_norm").withColumn("_spans", F.array().cast(SPANS))
+    spans = spans.groupBy("_row").agg(F.collect_list("_s").alias("_spans"))  # what one text has
+    return rows.drop("_norm").join(spans, "_row", "left").withColumn("_spans", F.coalesce(F.col("_spans").cast(SPANS), F.array().cast(SPANS)))
 
 
 def covered(spans: Column) -> Column:
