@@ -7,13 +7,14 @@ and an array of offsets; a null text counts as an empty one.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ..session import shared_path
+
 PAD = 64
 #: Bytes beyond which a span is hashed alone.
 LONG_SPAN = 4096
@@ -121,20 +122,10 @@ def column(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
-def shared_dir(spark, name: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir; where that is unset (tests,
-    local mode) the warehouse folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df, name: str):
     """Cuts lineage: writes df as Parquet in the shared folder and reads it again."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
+    path = shared_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)

@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import flat, id_column, shared_dir, slices
+from ..session import shared_path
+from .textkit import flat, id_column, slices
 from .tokens import crc32_of, default_vocabulary, encoder
 
 MAGIC = b"STRNDTK1"
@@ -186,5 +187,5 @@ def read_tokens(spark, files: list[tuple[str, int, int]], with_ids: bool = True)
 
 
 def op5_token_store(spark, sf_dir: str) -> DataFrame:
-    files = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark, "tokens"))
+    files = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_path(spark, "tokens"))
     return read_tokens(spark, files, with_ids=False)

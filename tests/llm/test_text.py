@@ -17,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandlake.llm import chat, classlm, gbdt, packing, quality, registry, textkit, tokens, tokenstore, toxicity
+from strandlake.session import shared_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(None, "null id"), (1, None), (2, ""), (3, "a"), (3, "a"), (4, "x" * 70000), (5, "word " * 9000), (6, "é漢 \n\n\t ." * 50), (7, "   \n ")]
@@ -114,7 +115,7 @@ def test_token_store(spark, sf_dir, library):
 
 
 def test_token_files_read_single_documents(spark, library):
-    files = tokenstore.write_tokens(odd(spark), textkit.shared_dir(spark, "tokens"), frame_bytes=1 << 12)
+    files = tokenstore.write_tokens(odd(spark), shared_path(spark, "tokens"), frame_bytes=1 << 12)
     got = tokenstore.read_tokens(spark, files).collect()
     assert sorted((str(r.doc_id), tuple(r.ids)) for r in got) == sorted((str(i), tuple(library(t))) for i, t in ODD)
     order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
@@ -128,7 +129,7 @@ def test_token_files_read_single_documents(spark, library):
     data[len(tokenstore.MAGIC) + 20] ^= 1
     with pytest.raises(Exception):  # noqa: B017  zstandard's error or the check sum's
         list(tokenstore.Reader(pa.PythonFile(io.BytesIO(bytes(data)))).documents())
-    assert tokenstore.read_tokens(spark, tokenstore.write_tokens(odd(spark).limit(0), textkit.shared_dir(spark, "tokens"))).count() == 0
+    assert tokenstore.read_tokens(spark, tokenstore.write_tokens(odd(spark).limit(0), shared_path(spark, "tokens"))).count() == 0
 
 
 @given(st.text("<|\\im_start>end\n a", max_size=30))
@@ -224,6 +225,37 @@ def test_quality_on_held_out_labels(spark):
     assert (got.kept == (got.quality == 1)).mean() > 0.98
 
 
+def test_toxicity_scores_against_loops():
+    r = np.random.default_rng(1)
+    texts = [b"", b"one", b"Two words", b"a b c d e f g a b", b"x " * 30 + "\u00e9t\u00e9 end".encode()]
+    shape = (len(toxicity.WIDTHS) * toxicity.FILTERS,)
+    m = toxicity.Model(r.normal(size=(toxicity.WORD_BUCKETS, toxicity.DIM)), r.normal(size=(toxicity.STEM_BUCKETS, toxicity.DIM)), [r.normal(size=(w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS], r.normal(size=shape), r.normal(size=shape), 0.3)
+    buf, off = textkit.flat(pa.array([t.decode() for t in texts]))
+    w, s, woff = toxicity.buckets(buf, off)
+    want = []
+    for i, j in zip(woff[:-1], woff[1:], strict=True):
+        e = [m.words[w[k]] + m.stems[s[k]] for k in range(i, j)]
+        logit = m.offset
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                at = k * toxicity.FILTERS + f
+                sums = [sum(float(e[x + t] @ m.filters[k][t, :, f]) for t in range(width) if x + t < len(e)) + m.bias[at] for x in range(len(e))]
+                logit += m.weight[at] * max([0.0, *sums])
+        want.append(1 / (1 + np.exp(-logit)))
+    assert np.allclose(toxicity.score(m, m.tables(), buf, off), want, atol=1e-4)
+    parts = [(w[i:j], s[i:j]) for i, j in zip(woff[:-1], woff[1:], strict=True)]
+    assert np.allclose(toxicity.probabilities(m, parts), want, atol=1e-4)
+
+
+def test_toxicity_thresholds_come_from_rows_not_fitted(spark, monkeypatch):
+    sizes, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: sizes.append(len(y)) or fit(texts, y, epochs=1))
+    docs = spark.createDataFrame([(i, f"word{i % 7} " + ("vile filth" if i % 3 == 0 else "kind words"), "en") for i in range(300)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert sizes[1] == sizes[0] - -(-sizes[0] // toxicity.CALIBRATION) and set(model.thresholds) == {"en"}
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
