@@ -91,19 +91,19 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         base, x = statistics(*flat(b.column("text")))
-        yield pa.RecordBatch.from_arrays([b.column("label").cast(pa.int64()), *(pa.array(x[:, j]) for j in range(x.shape[1]))], names=["label", *FEATURES])
+        yield pa.RecordBatch.from_arrays([id_column(b), b.column("label").cast(pa.int64()), *(pa.array(x[:, j]) for j in range(x.shape[1]))], names=["doc_id", "label", *FEATURES])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> gbdt.Forest:
     """Learns P(quality = 1) from the `sample_rows` labelled rows with the least hash of their id.
 
     The sample is chosen among the labels, so its size bounds the broadcast
-    and what comes to the driver (a few numbers a row). Where a doc_id
-    repeats, its least text stands for it.
+    and what comes to the driver (a few numbers a row). Texts stay where they
+    are read. Where a doc_id repeats, its least statistics stand for it.
     """
     chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("long").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
-    got = rows.mapInArrow(_feature_rows, "label long, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas().sort_values(["label", *FEATURES])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_feature_rows, "doc_id long, label long, " + ", ".join(f"{f} double" for f in FEATURES))
+    got = rows.groupBy("doc_id", "label").agg(F.min(F.struct(*FEATURES)).alias("x")).select("label", "x.*").toPandas().sort_values(["label", *FEATURES])
     return gbdt.fit(got[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), got["label"].to_numpy(float), MONOTONE)
 
 
