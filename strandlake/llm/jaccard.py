@@ -56,7 +56,7 @@ WIDE = 256
 #: Pairs of members of a region that are compared without looking for a common part first.
 PAIRS = 4 << 20
 #: Bytes of rows that a task packs at once; bytes of one task's rows.
-PACKED, DEALT = 32 << 20, 10 << 20
+PACKED, DEALT = 10 << 20, 10 << 20
 #: Bytes of text of a group, or of a share of it, in one task; bytes of the pivots that are copied to each share.
 BUDGET, DRAWN = 24 << 20, 2 << 20
 #: Members that are compared directly, and pivots of a region.
