@@ -2,8 +2,8 @@
 
 Partitioning and exchange (multisplit, split_table, exchange), merging
 (distributed_merge, remerge, merge_path_split, kselect), segments
-(segmented_sort, segmented_reduce, transform_lbs, load_balance_search), scans,
-selection, gather / scatter / permute, joins and searches on sorted data, bulk
+(segmented_sort, segmented_reduce, lbs_segreduce, transform_lbs,
+load_balance_search), scans, selection, gather / scatter / permute, joins and searches on sorted data, bulk
 edits, intervals and sparse products. Each is a composition of built-in
 operators; where a global order is needed, `scan.segmented_scan` numbers rows
 without bringing them into one task.
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .scan import segmented_scan
 
 DRAWN = 4096  # keys that kselect draws for its bounds
+ITEMS = 4096  # work items that are one array while a row is expanded
 
 # --- partitioning and exchange
 
@@ -123,9 +124,28 @@ def merge_path_split(a: DataFrame, b: DataFrame, order: list[str], diagonals: li
     return partition_points([a, b], order, diagonals).withColumnsRenamed({"from_0": "from_a", "from_1": "from_b"})
 
 
+def binary_search_partitions(df: DataFrame, key: str, count: int, spacing: int, bound: str = "lower") -> DataFrame:
+    """(index, at, place): for the targets at = 0, spacing, 2 * spacing, ..., count how many keys are smaller (lower) or not greater (upper).
+
+    The last target is `count` itself. Null keys are not counted.
+    """
+    if count < 0 or spacing < 1:
+        raise ValueError("count must not be negative, spacing at least 1")
+    targets = df.sparkSession.range(-(-count // spacing) + 1).select(F.col("id").alias("index"), F.least(F.col("id") * spacing, F.lit(count)).alias("at"))
+    return sorted_search(targets, "at", df.select(F.col(f"`{key}`").alias("_key")), "_key", bound).select("index", "at", "place")
+
+
 # --- segments
 
 
+def _expanded(df: DataFrame, times: Column, out: str) -> DataFrame:
+    """Each row `times` times, with its copy's number as `out`; an array holds ITEMS of them at most, whatever the count."""
+    n = times.cast("long")
+    blocks = df.where(n > 0).select("*", n.alias("__n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / ITEMS).cast("long"))).alias("__block"))
+    first = F.col("__block") * ITEMS
+    return blocks.withColumn(out, F.explode(F.sequence(first, F.least(first + ITEMS, F.col("__n")) - 1))).drop("__n", "__block")
+
+
 def segmented_sort(df: DataFrame, segment: str, order: list[str], out: str = "rn") -> DataFrame:
     """df with each row's place in its segment."""
     return numbered(df, order, out, [segment])
@@ -146,7 +166,7 @@ def histogram(df: DataFrame, bucket: Column) -> DataFrame:
 
 def load_balance_search(segments: DataFrame, segment: str, count: str) -> DataFrame:
     """(segment, rank): one row for each of a segment's `count` work items, rank from 0."""
-    return segments.where(F.col(count) > 0).select(segment, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1)).alias("rank"))
+    return _expanded(segments.select(segment, count), F.col(count), "rank").select(segment, "rank")
 
 
 def transform_lbs(segments: DataFrame, segment: str, count: str, f) -> DataFrame:
@@ -155,10 +175,22 @@ def transform_lbs(segments: DataFrame, segment: str, count: str, f) -> DataFrame
     return work.withColumn("value", f(F.col(segment), F.col("rank")))
 
 
+def lbs_segreduce(segments: DataFrame, segment: str, count: str, f, fold=F.sum, init=0) -> DataFrame:
+    """(segment, value): a fold of f(segment column, rank column) over each segment's work items.
+
+    `segment` must tell the segments apart (equal values are folded together; a
+    null one is one as well). Segments without items, or whose values are all
+    null, have `init`. Items are folded before they are shuffled, so a long
+    segment sends one row a task.
+    """
+    work = transform_lbs(segments, segment, count, f).select(segment, "value")
+    none = segments.select(segment, F.lit(None).cast(work.schema["value"].dataType).alias("value"))
+    return none.unionByName(work).groupBy(segment).agg(F.coalesce(fold("value"), F.lit(init)).alias("value"))
+
+
 def workcreate(df: DataFrame, count: Column) -> DataFrame:
-    """Each row `count` times, with the number of the copy; rows with 0 or less vanish."""
-    times = count.cast("long")
-    return df.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
+    """Each row `count` times, with the number of the copy; rows with 0 or less (or null) vanish."""
+    return _expanded(df, count, "copy")
 
 
 # --- scans and selection
@@ -172,6 +204,20 @@ def exclusive_scan(df: DataFrame, order: list[str], value: str, out: str, kind:
     return segmented_scan(df, segment or [], order, value, out, kind, False)
 
 
+def transform_scan(df: DataFrame, order: list[str], f: Column, out: str, kind: str = "sum", segment: list[str] | None = None, inclusive: bool = False) -> DataFrame:
+    """df with the scan of f, an expression over its columns."""
+    return segmented_scan(df.withColumn("__f", f), segment or [], order, "__f", out, kind, inclusive).drop("__f")
+
+
+def scan_event(df: DataFrame, order: list[str], value: Column, out: str, kind: str = "sum", segment: list[str] | None = None, inclusive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The scan, and apart from it (segment..., total): each segment's reduction, for which no scan has to run.
+
+    Without rows the totals are empty, or one null where there is no segment.
+    """
+    fold = {"sum": F.sum, "max": F.max}[kind]
+    return transform_scan(df, order, value, out, kind, segment, inclusive), df.groupBy(*(segment or [])).agg(fold(value).alias("total"))
+
+
 def compact(df: DataFrame, flag: Column) -> DataFrame:
     """Stream compaction by a flag or predicate."""
     return df.where(flag)

@@ -96,6 +96,11 @@ def sort_suffixes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return sa
 
 
+def single_suffix_array(data: bytes) -> np.ndarray:
+    """The suffix array of one text in this process, without Spark: what the distributed strategies are measured against."""
+    return sort_suffixes(np.frombuffer(data, np.uint8), np.array([0, len(data)], np.int64))
+
+
 def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

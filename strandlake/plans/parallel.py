@@ -256,3 +256,35 @@ def segmented_sort_string(t):
 def sorted_search_nulls(t):
     needles = t("customer").select("c_custkey", F.when(F.col("c_custkey") % 10 != 0, F.col("c_acctbal")).alias("x"))
     return P.sorted_search(needles, "x", t("supplier").select("s_acctbal"), "s_acctbal").select("c_custkey", "place")
+
+
+@query("SELECT event_id, CAST(sum(2 * CAST(floor(value) AS BIGINT) + 1) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM events")
+def transform_scan(t):
+    rows = t("events").select("user_id", "ts", "event_id", "value")
+    return P.transform_scan(rows, ["ts", "event_id"], 2 * F.floor("value").cast("long") + 1, "total", segment=["user_id"], inclusive=True).select("event_id", "total")
+
+
+@query("SELECT event_id, CAST(coalesce(sum(v) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, CAST(sum(v) OVER (PARTITION BY user_id) AS BIGINT) AS total FROM (SELECT *, CAST(floor(value) AS BIGINT) AS v FROM events)")
+def scan_event(t):
+    rows = t("events").select("user_id", "ts", "event_id", "value")
+    scan, totals = P.scan_event(rows, ["ts", "event_id"], F.floor("value").cast("long"), "before", segment=["user_id"])
+    return scan.join(totals, "user_id").select("event_id", "before", "total")
+
+
+@query("SELECT p_partkey, CAST(coalesce(sum(p_partkey * 100 + rank), 0) AS BIGINT) AS value FROM part LEFT JOIN (SELECT p_partkey AS k, unnest(range(0, p_size % 4)) AS rank FROM part) ON k = p_partkey AND rank IS NOT NULL GROUP BY p_partkey, k IS NULL")
+def lbs_segreduce(t):
+    return P.lbs_segreduce(t("part").select("p_partkey", (F.col("p_size") % 4).alias("n")), "p_partkey", "n", lambda s, r: s * 100 + r)
+
+
+def _targets(sign: str) -> str:
+    return f"SELECT i AS index, least(i * 40, 1010) AS at, (SELECT count(*) FROM orders WHERE o_custkey {sign} least(i * 40, 1010)) AS place FROM (SELECT unnest(range(0, 27)) AS i)"
+
+
+@query(_targets("<"))
+def binary_search_partitions_lower(t):
+    return P.binary_search_partitions(t("orders"), "o_custkey", 1010, 40)
+
+
+@query(_targets("<="))
+def binary_search_partitions_upper(t):
+    return P.binary_search_partitions(t("orders"), "o_custkey", 1010, 40, "upper")
