@@ -271,6 +271,70 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(r.score == 0 for r in toxicity.toxicity_scores(odd(spark), bare).collect())
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Only the training rows with the largest hashes of their ids, beyond the first 8,000, are toxic."""
+    in_fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    ids = [r.doc_id for r in spark.range(10500).toDF("doc_id").where(in_fold).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    assert len(ids) > 8200
+    toxic = set(ids[8000:])
+    docs = spark.createDataFrame([(i, f"vile filth{i % 7}" if i in toxic else f"kind word{i % 7}", "en") for i in ids], "doc_id long, text string, lang string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i in toxic)) for i in ids], "doc_id long, toxic int"))
+    new = spark.createDataFrame([(1, "vile filth3", "en"), (2, "kind word3", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: (r.predicted, r.flagged) for r in toxicity.toxicity_scores(new, model).collect()} == {1: (1, True), 2: (0, False)}
+
+
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+def test_toxicity_blocks_hold_all_rows_and_are_averaged(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", broadcast)
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 64)  # shards of about so many rows
+    rows = [(i, f"word{i % 7} " + ("vile filth" if i % 3 == 0 else "kind words") * (i % 4), "en" if i % 2 else None) for i in range(300)]
+    rows += [(None, "no id", "en"), (7, "again", "en"), (8, None, "en"), (9, "", "en"), (1000, "no label", "en")]
+    marks = [*((i, int(i % 3 == 0)) for i in range(300)), (7, 1), (11, None), (None, 1), (2000, 1)]
+    blocks = toxicity.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    table = blocks.toArrow()
+    assert len(table) > 2
+    got = list(toxicity._unpacked(table.to_batches(), None, True))
+    learned = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 != 0
+    pairs = [(t, y, lang) for i, t, lang in rows if learned(i) for j, y in marks if i == j and y is not None]
+    coded = lambda t: tuple(a.tobytes() for a in toxicity.buckets(*textkit.flat(pa.array([t], pa.string())))[:2])
+    want = collections.Counter((*(np.frombuffer(a, np.int32).astype("<u2").tobytes() for a in coded(t)), y, lang) for t, y, lang in pairs)
+    assert collections.Counter((w.tobytes(), s.tobytes(), int(y), lang) for texts, ys, langs, _ in got for (w, s), y, lang in zip(texts, ys, langs, strict=True)) == want
+    folds = [list(toxicity._unpacked(table.to_batches(), f, False)) for f in range(toxicity.CALIBRATION)]
+    assert sum(len(y) for f in folds for _, y, _, _ in f) == len(pairs)
+
+    model, past = toxicity._start(3)
+    after, memory = toxicity._averaged(toxicity.Rows(blocks, len(table)), model, past, 0, 2, 8, 0.05, 3)
+    ends = []
+    for texts, y, _, number in got:
+        m, p = toxicity._copy(model, past)
+        r = np.random.default_rng([3, 0, number])
+        ends.append((m, p, len(y), [sum(c) for c in zip(*(toxicity._descend(m, p, texts, y, r, 8, 0.05) for _ in range(2)), strict=True)]))
+    n = sum(e[2] for e in ends)
+    assert np.allclose(after.weight, sum(e[0].weight * e[2] for e in ends) / n)
+    assert np.allclose(after.filters[2], sum(e[0].filters[2] * e[2] for e in ends) / n, atol=1e-5)
+    assert np.isclose(memory["o"], sum(e[1]["o"] * e[2] for e in ends) / n)
+    for k, name, own in ((0, "words", "e"), (1, "stems", "s")):
+        times = sum(e[3][k] for e in ends)
+        moved = times > 0
+        assert 0 < moved.sum() < 40 and (getattr(after, name)[~moved] == getattr(model, name)[~moved]).all()
+        mean = sum(e[3][k][moved, None] * getattr(e[0], name)[moved] for e in ends) / times[moved, None]
+        assert np.allclose(getattr(after, name)[moved], mean, atol=1e-5)
+        assert np.allclose(memory[own][moved], sum(e[3][k][moved] * e[1][own][moved] for e in ends) / times[moved], atol=1e-5)
+    textkit.discard(blocks)
+
+
+def test_toxicity_thresholds_against_loops(spark):
+    r = random.Random(5)
+    rows = [(lang, r.choice([0.0, 0.1, 0.25, 0.25, 0.5, 0.9, 1.0, r.random()]), int(r.random() < 0.4)) for lang in ("", "en", "fr") for _ in range(120)]
+    rows += [("rare", 0.7, 1)] * 9 + [("one", 0.3, 1)] * 10
+    got = toxicity._thresholds(spark.createDataFrame(rows, "lang string, p double, label long"))
+    assert set(got) == {"", "en", "fr", "one"} and got["one"] == 0.3
+    for lang, cut in got.items():
+        own = [(p, y) for at, p, y in rows if at == lang]
+        f1 = lambda c: 2 * sum(y for p, y in own if p >= c) / (sum(p >= c for p, _ in own) + sum(y for _, y in own))  # noqa: B023, E731
+        assert math.isclose(f1(cut), max(f1(p) for p, _ in own))
+
+
 def lm_base(docs):
     split = lambda t: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
     train = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 != 1
