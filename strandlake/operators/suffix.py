@@ -15,7 +15,7 @@ A null or empty text has no rows. Ids must be distinct and not null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ from .scan import segmented_scan
 K = 16
 SLICE_BYTES = 1 << 18
 BLOCK = 1 << 16  # bytes of a joined text that one row holds
+HEX = [f"{c:02X}" for c in range(256)]
 FEW = 1 << 17  # active rows (of some 32 bytes) that are sent to all executors
 
 
@@ -111,17 +112,46 @@ def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
             at = end
 
 
-def _local(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _by_byte(df: DataFrame, id_col: str, text_col: str, columns: str, of: Callable[..., list[pa.Array]]) -> DataFrame:
+    """(id, columns) with as many rows a text as it has bytes: of(data, off, start, sa) for the texts of a slice.
+
+    start: where each row's text begins in data; sa: the positions in data, in order.
+    """
+    names = [id_col, *(c.split()[0] for c in columns.split(", "))]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, text_col):
             data, off = _flat(b.column(text_col))
-            sa = sort_suffixes(data, off)
             n = np.diff(off)
-            start = np.repeat(off[:-1], n)
             ids = b.column(id_col).cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(len(sa)) - start), pa.array(sa - start)], names=[id_col, "rank", "pos"])
+            yield pa.RecordBatch.from_arrays([ids, *of(data, off, np.repeat(off[:-1], n), sort_suffixes(data, off))], names=names)
+
+    return df.select(id_col, text_col).mapInArrow(rows, f"`{id_col}` long, {columns}")
+
+
+def _local(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return _by_byte(df, id_col, text_col, "rank long, pos long", lambda data, off, start, sa: [pa.array(np.arange(len(sa)) - start), pa.array(sa - start)])
 
-    return df.select(id_col, text_col).mapInArrow(rows, f"`{id_col}` long, rank long, pos long")
+
+def _inverse(sa: np.ndarray) -> np.ndarray:
+    isa = np.empty_like(sa)
+    isa[sa] = np.arange(len(sa))
+    return isa
+
+
+def _sa_isa_local(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return _by_byte(df, id_col, text_col, "i long, sa long, isa long", lambda data, off, start, sa: [pa.array(np.arange(len(sa)) - start), pa.array(sa - start), pa.array(_inverse(sa) - start)])
+
+
+def _bwt_rows_local(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def of(data: np.ndarray, off: np.ndarray, start: np.ndarray, sa: np.ndarray) -> list[pa.Array]:
+        at, whole = np.arange(len(sa)), sa == start
+        row = at - start + (at < _inverse(sa)[start])
+        row[whole] = 0  # the suffix at 0 has no row; the text's last byte takes its place
+        end = np.repeat(off[1:], np.diff(off))
+        return [pa.array(row), pa.array(HEX).take(pa.array(data[np.where(whole, end, sa) - 1]))]
+
+    return _by_byte(df, id_col, text_col, "row long, ch string", of)
 
 
 # --- distributed
@@ -307,10 +337,12 @@ def inverse_suffix_array(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def sa_isa(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", strategy: str = "local") -> DataFrame:
-    """(id, i, sa, isa): both arrays by index."""
+    """(id, i, sa, isa): both arrays by index. A null id has no rows."""
+    if strategy == "local":
+        return _sa_isa_local(df.where(F.col(id_col).isNotNull()), id_col, text_col)
     sa = suffix_array(df, id_col, text_col, strategy)
     isa = sa.select(id_col, F.col("pos").alias("i"), F.col("rank").alias("isa"))
-    return sa.select(id_col, F.col("rank").alias("i"), F.col("pos").alias("sa")).join(isa, [id_col, "i"])
+    return sa.select(id_col, F.col("rank").alias("i"), F.col("pos").alias("sa")).join(isa.hint("merge"), [id_col, "i"])
 
 
 def bwt_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", strategy: str = "local") -> DataFrame:
@@ -318,6 +350,8 @@ def bwt_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stra
 
     Row 0 is the last byte (what precedes the end mark); the suffix at 0 has no row.
     """
+    if strategy == "local":
+        return _bwt_rows_local(df, id_col, text_col)
     data = df.select(F.col(id_col).cast("long").alias(id_col), as_bytes(F.col(text_col)).alias("_b")).where(F.length("_b") > 0)
     sa = suffix_array(df, id_col, text_col, strategy)
     zero = sa.where("pos = 0").select(id_col, F.col("rank").alias("_z"))

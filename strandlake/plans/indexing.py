@@ -39,7 +39,7 @@ def _bwt(name: str, spark, sf_dir: str) -> DataFrame:
 def _bwt_isa(name: str, spark, sf_dir: str) -> DataFrame:
     b, isa = S.bwt_isa(texts(spark, sf_dir, name))
     whole = isa.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "isa"))).alias("r"))
-    return b.join(whole, "doc_id").select("doc_id", F.hex("bwt").alias("bwt"), "primary_index", F.array_join(F.transform("r", lambda x: x["isa"].cast("string")), ",").alias("isa"))
+    return b.join(whole.hint("merge"), "doc_id").select("doc_id", F.hex("bwt").alias("bwt"), "primary_index", F.array_join(F.transform("r", lambda x: x["isa"].cast("string")), ",").alias("isa"))
 
 
 def _bwt_aux(name: str, spark, sf_dir: str) -> DataFrame:

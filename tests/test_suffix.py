@@ -201,3 +201,17 @@ def test_ranks_by_broadcast_and_shuffle_agree(spark, texts, monkeypatch, strateg
     df = spark.createDataFrame(texts, "doc_id long, text binary")
     want = {(i, k, p) for i, t in texts if t for k, p in enumerate(naive(t))}
     assert {tuple(r) for r in S.suffix_array(df, strategy=strategy).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["sa_isa_part_names", "bwt_rows_part_names", "bwt_isa_part_names"])
+def test_no_table_of_bytes_is_broadcast(spark, sf_dir, name):
+    """Spark takes what comes from Python or explode for as small as the table read, so it would send out a side of any size."""
+    from strandlake import registry
+
+    assert "BroadcastExchange" not in registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("f", [S.sa_isa, S.bwt_rows])
+def test_rows_of_one_pass_are_those_of_joins(spark, texts, f):
+    df = spark.createDataFrame(texts, "doc_id long, text binary")
+    assert sorted(map(tuple, f(df).collect())) == sorted(map(tuple, f(df, strategy="definition").collect()))
