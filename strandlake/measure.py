@@ -25,16 +25,17 @@ def _row(name: str, number: int, rows: int, size: int, seconds: float, right: bo
 def all_to_all(spark: SparkSession, rows: int, nodes: int, rounds: int = 3) -> DataFrame:
     """Numbers 0 to rows - 1 in mixed order go from `nodes` partitions to `nodes` targets, an equal share each.
 
-    One row a round; `right` says that each number came once to its own
-    partition. Rates count 8 bytes a row. The time holds the check's sums.
+    One row a round; `right` says that each number came once, to a partition
+    that no other target's numbers are in. Rates count 8 bytes a row. The time
+    holds the count by target and the check's sums.
     """
     found = []
     for number in range(rounds):
         began = time.perf_counter()
         sent = spark.range(0, rows, 1, nodes).select(F.col("id").alias("key"), F.pmod(F.xxhash64("id", F.lit(SEED + number)), F.lit(nodes)).alias("to"))
         got = P.exchange(sent, F.col("to"), nodes).groupBy(F.spark_partition_id().alias("at"), "dest").agg(F.count("*").alias("n"), F.sum("key").alias("sum"))
-        whole = got.groupBy("dest").agg(F.count("*").alias("places"), F.sum("n").alias("n"), F.sum("sum").alias("sum"))
-        most, n, total = whole.agg(F.max("places"), F.sum("n"), F.sum("sum")).first()
+        whole = got.groupBy("at").agg(F.count("*").alias("targets"), F.sum("n").alias("n"), F.sum("sum").alias("sum"))
+        most, n, total = whole.agg(F.max("targets"), F.sum("n"), F.sum("sum")).first()
         right = (n or 0) == rows and (total or 0) == rows * (rows - 1) // 2 and (most or 1) == 1
         found.append(_row("all_to_all", number, rows, 8, time.perf_counter() - began, right))
     return _frame(spark, found)

@@ -17,18 +17,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scan import segmented_scan
 
 DRAWN = 4096  # keys that kselect draws for its bounds
 ITEMS = 4096  # work items that are one array while a row is expanded
+SHARE = 1 << 26  # bytes of rows that one partition of a bucket gets
 
 # --- partitioning and exchange
 
 
+def _dealt(df: DataFrame, bucket: Column, buckets: int, name: str) -> DataFrame:
+    """df with its bucket: no partition holds two, partitions follow the order of the buckets (null first).
+
+    A bucket of more than SHARE bytes takes as many partitions as it has
+    shares, so no task's part grows with it. One pass counts rows and bytes by
+    bucket (only strings, binaries and nested columns are read for that). A
+    row's share comes from its values and the task that has it, which a task
+    that is run again finds the same; equal rows of many tasks are spread too.
+    """
+    rows = df.withColumn(name, bucket.cast("long"))
+    own, fixed, loose = [], 16, []
+    for f in rows.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.NumericType | T.BooleanType | T.DateType | T.TimestampType | T.TimestampNTZType):
+            fixed += 8
+        else:
+            loose.append(F.coalesce(F.octet_length(c if isinstance(f.dataType, T.StringType | T.BinaryType) else c.cast("string")), F.lit(0)).cast("long"))
+        if not any(x in f.dataType.simpleString() for x in ("map<", "variant")):  # these have no hash
+            own.append(c)
+    size = sum(loose, F.lit(fixed).cast("long"))
+    found = sorted(rows.groupBy(F.col(f"`{name}`").alias("b")).agg(F.sum(size).alias("s")).collect(), key=lambda r: (r["b"] is not None, r["b"]))
+    table, first = [], 0
+    for r in found:  # one row a bucket
+        table.append((r["b"], first, shares := -(-r["s"] // SHARE)))
+        first += shares
+    table = F.broadcast(df.sparkSession.createDataFrame(table, "__b long, __first long, __shares long"))
+    share = F.pmod(F.xxhash64(*own) + F.spark_partition_id(), F.col("__shares"))
+    placed = rows.join(table, F.col(f"`{name}`").eqNullSafe(F.col("__b"))).withColumn("__to", (F.col("__first") + share).cast("int"))
+    return placed.repartitionById(max(first, buckets), F.col("__to")).drop("__b", "__first", "__shares", "__to")
+
+
 def multisplit(df: DataFrame, bucket: Column, buckets: int, name: str = "bucket") -> DataFrame:
-    """df with its bucket, dealt to one partition a bucket."""
-    return df.withColumn(name, bucket.cast("long")).repartition(buckets, name)
+    """df with its bucket, dealt to one partition a bucket, or several of SHARE bytes where it holds more; `buckets` partitions at least."""
+    return _dealt(df, bucket, buckets, name)
 
 
 def multisplit_counts(df: DataFrame, bucket: Column, name: str = "bucket") -> DataFrame:
@@ -44,8 +77,8 @@ def split_table(df: DataFrame, source: Column, target: Column) -> DataFrame:
 
 
 def exchange(df: DataFrame, target: Column, targets: int) -> DataFrame:
-    """All-to-all: rows move to the partition of their target."""
-    return df.withColumn("dest", target.cast("long")).repartition(targets, "dest")
+    """All-to-all: rows move to the partition of their target (of several where it gets more than SHARE bytes)."""
+    return _dealt(df, target, targets, "dest")
 
 
 def validate_exchange(table: DataFrame, sent: DataFrame, received: DataFrame) -> DataFrame:

@@ -135,3 +135,22 @@ def test_partition_points(spark):
     got = {r[0]: tuple(r[1:]) for r in P.partition_points(dfs, ["v"], [0, 3, 3, 7, 10, 11]).collect()}
     assert got == {d: tuple(sum(i == side for _, i in merged[:d]) for side in range(4)) for d in (3, 7, 10)}
     assert P.partition_points(dfs, ["v"], []).count() == 0
+
+
+def test_a_large_bucket_takes_several_partitions(spark, monkeypatch):
+    """Nine tenths of the rows, of which many are equal, are in one bucket; no partition holds two buckets."""
+    monkeypatch.setattr(P, "SHARE", 4096)
+    i = F.col("id")
+    df = spark.range(0, 4000, 1, 8).select((i % 3).alias("x"), F.when(i % 2 == 0, "a").alias("s"), F.create_map(F.lit("k"), F.lit(1)).alias("m"), F.when(i % 10 > 0, 5).when(i % 20 > 0, -2).alias("b"))
+    for got, name in ((P.multisplit(df, F.col("b"), 4), "bucket"), (P.exchange(df, F.col("b"), 4), "dest")):
+        rows = got.select("x", "s", "b", F.col(name).alias("own"), F.spark_partition_id().alias("at")).collect()
+        assert sorted(map(str, (r[:3] for r in rows))) == sorted(str(tuple(r)) for r in df.select("x", "s", "b").collect()) and all(r.b == r.own for r in rows)
+        held, size = {}, {}
+        for r in rows:
+            held.setdefault(r["at"], set()).add(r.own)
+            size[r["at"]] = size.get(r["at"], 0) + 1
+        assert all(len(h) == 1 for h in held.values()) and max(size.values()) < 1000
+        order = [next(iter(h)) for _, h in sorted(held.items())]
+        assert order == sorted(order, key=lambda b: (b is not None, b or 0)) and set(order) == {None, -2, 5}
+    few = P.multisplit(df.limit(0), F.col("b"), 4)
+    assert few.count() == 0 and few.columns == [*df.columns, "bucket"]
