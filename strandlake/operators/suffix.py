@@ -31,7 +31,8 @@ from .scan import segmented_scan
 
 K = 16
 SLICE_BYTES = 1 << 18
-BLOCK = 1 << 16  # bytes of a joined text that one row holds
+BLOCK = 1 << 16  # bytes of a text that one row holds before it becomes a row a byte
+SPREAD = 1 << 19  # bytes of text that one task makes a row a byte
 HEX = [f"{c:02X}" for c in range(256)]
 FEW = 1 << 17  # active rows (of some 32 bytes) that are sent to all executors
 
@@ -157,27 +158,43 @@ def _bwt_rows_local(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # --- distributed
 
 
+def positions(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, pos, _b, _p): a row for each byte, with a block in which it and the next size - 1 bytes stand from _p on.
+
+    A small file may hold texts for many tasks, so blocks are dealt out by the
+    bytes of all texts first: what a task counts or sorts does not grow with them.
+    """
+    data = df.select(F.col(id_col).cast("long").alias(id_col), as_bytes(F.col(text_col)).alias("_t")).where(F.length("_t") > 0)
+    total = data.agg(F.sum(F.length("_t"))).first()[0] or 0
+    cut = data.select(id_col, "_t", F.explode(F.sequence(F.lit(0), F.length("_t") - 1, F.lit(BLOCK))).alias("_at"))
+    blocks = cut.select(id_col, "_at", F.substring("_t", F.col("_at") + 1, F.lit(BLOCK + size - 1)).alias("_b"))
+    if total > SPREAD:
+        blocks = blocks.repartition(-(-total // SPREAD), id_col, "_at")
+    rows = blocks.select(id_col, "_at", "_b", F.explode(F.sequence(F.lit(0), F.least(F.length("_b"), F.lit(BLOCK)) - 1)).alias("_p"))
+    return rows.select(id_col, (F.col("_at") + F.col("_p")).cast("long").alias("pos"), "_b", "_p")
+
+
 def suffixes(df: DataFrame, id_col: str, text_col: str, size: int = K) -> DataFrame:
     """(id, pos, key): each position with its first `size` bytes."""
-    data = df.select(F.col(id_col).cast("long").alias(id_col), as_bytes(F.col(text_col)).alias("_b")).where(F.length("_b") > 0)
-    rows = data.select(id_col, "_b", F.explode(F.sequence(F.lit(0), F.length("_b") - 1)).alias("_p"))
-    return rows.select(id_col, F.col("_p").cast("long").alias("pos"), kmer(F.col("_b"), F.col("_p"), size).alias("key"))
+    return positions(df, id_col, text_col, size).select(id_col, "pos", kmer(F.col("_b"), F.col("_p"), size).alias("key"))
 
 
 def initial_ranks(rows: DataFrame, id_col: str) -> DataFrame:
     """(id, pos, rank, n): 1 + the number of smaller keys in the text, and how many share the key.
 
     Equal keys are counted first, so a key of any weight is one row in the scan.
+    The ranks go back by merge: Spark takes exploded rows for as small as the
+    texts and would send them out whole.
     """
     groups = rows.groupBy(id_col, "key").agg(F.count("*").alias("n"))
     ranked = segmented_scan(groups, [id_col], ["key"], "n", "before", inclusive=False)
-    return rows.join(ranked.select(id_col, "key", "n", (F.col("before") + 1).alias("rank")), [id_col, "key"]).select(id_col, "pos", "rank", "n")
+    return rows.join(ranked.select(id_col, "key", "n", (F.col("before") + 1).alias("rank")).hint("merge"), [id_col, "key"]).select(id_col, "pos", "rank", "n")
 
 
 def fetch_ranks(active: DataFrame, isa: DataFrame, id_col: str, h: int) -> DataFrame:
     """active with rank_h: the rank h bytes further on, 0 past the end."""
     ahead = isa.select(id_col, (F.col("pos") - h).alias("pos"), F.col("rank").alias("_r"))
-    return active.join(ahead, [id_col, "pos"], "left").withColumn("rank_h", F.coalesce("_r", F.lit(0))).drop("_r")
+    return active.join(ahead.hint("merge"), [id_col, "pos"], "left").withColumn("rank_h", F.coalesce("_r", F.lit(0))).drop("_r")
 
 
 def fetch_ranks_of_few(active: DataFrame, isa: DataFrame, ends: DataFrame, id_col: str, h: int) -> DataFrame:
@@ -289,10 +306,9 @@ def merge_by_counting(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     after). Both keys are unique among all suffixes compared.
     """
     sample = settled(sample_ranks(df, id_col, text_col), "sample")
-    data = df.select(F.col(id_col).cast("long").alias(id_col), as_bytes(F.col(text_col)).alias("_b")).where(F.length("_b") > 0)
-    pos = data.select(id_col, "_b", F.explode(F.sequence(F.lit(0), F.length("_b") - 1)).alias("pos"))
-    pos = pos.select(id_col, F.col("pos").cast("long").alias("pos"), byte_at(F.col("_b"), F.col("pos")).alias("c0"), F.coalesce(byte_at(F.col("_b"), F.col("pos") + 1), F.lit(-1)).alias("c1"))
-    ahead = lambda k: sample.select(id_col, (F.col("pos") - k).alias("pos"), F.col("rank").alias(f"r{k}"))
+    pos = positions(df, id_col, text_col, 2)
+    pos = pos.select(id_col, "pos", byte_at(F.col("_b"), F.col("_p")).alias("c0"), F.coalesce(byte_at(F.col("_b"), F.col("_p") + 1), F.lit(-1)).alias("c1"))
+    ahead = lambda k: sample.select(id_col, (F.col("pos") - k).alias("pos"), F.col("rank").alias(f"r{k}")).hint("merge")
     rows = pos.join(ahead(1), [id_col, "pos"], "left").join(ahead(2), [id_col, "pos"], "left").join(ahead(0), [id_col, "pos"], "left").fillna(0, ["r1", "r2"])
     rows = settled(rows.withColumn("cls", F.col("pos") % 3), "merge")
     one = rows.where("cls <> 2").withColumn("w0", (F.col("cls") == 0).cast("long")).withColumn("w1", (F.col("cls") == 1).cast("long"))
@@ -303,7 +319,7 @@ def merge_by_counting(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return segmented_scan(zeros, [id_col], keys, "w1", "others", inclusive=False)
 
     c1, c2 = settled(counted(one, ["c0", "r1"]), "merge"), settled(counted(two, ["c0", "c1", "r2"]), "merge")
-    zero = c1.where("cls = 0").select(id_col, "pos", "zeros", F.col("others").alias("ones")).join(c2.where("cls = 0").select(id_col, "pos", F.col("others").alias("twos")), [id_col, "pos"])
+    zero = c1.where("cls = 0").select(id_col, "pos", "zeros", F.col("others").alias("ones")).join(c2.where("cls = 0").select(id_col, "pos", F.col("others").alias("twos")).hint("merge"), [id_col, "pos"])
     final = zero.select(id_col, (F.col("zeros") + F.col("ones") + F.col("twos")).alias("rank"), "pos")
     for c, cls in ((c1, 1), (c2, 2)):
         final = final.union(c.where(F.col("cls") == cls).select(id_col, (F.col("r0") - 1 + F.col("zeros")).alias("rank"), "pos"))

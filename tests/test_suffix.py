@@ -215,3 +215,22 @@ def test_no_table_of_bytes_is_broadcast(spark, sf_dir, name):
 def test_rows_of_one_pass_are_those_of_joins(spark, texts, f):
     df = spark.createDataFrame(texts, "doc_id long, text binary")
     assert sorted(map(tuple, f(df).collect())) == sorted(map(tuple, f(df, strategy="definition").collect()))
+
+
+@pytest.mark.parametrize("strategy", ["doubling", "dc3"])
+def test_texts_are_dealt_out_before_they_become_a_row_a_byte(spark, texts, monkeypatch, strategy):
+    monkeypatch.setattr(S, "BLOCK", 8)
+    monkeypatch.setattr(S, "SPREAD", 128)
+    df = spark.createDataFrame(texts, "doc_id long, text binary").coalesce(1)
+    total = sum(len(t or b"") for _, t in texts)
+    rows = S.suffixes(df, "doc_id", "text")
+    assert rows.rdd.getNumPartitions() == -(-total // 128) > 9
+    assert {(r.doc_id, r.pos, bytes(r.key)) for r in rows.collect()} == {(i, p, t[p : p + S.K]) for i, t in texts if t for p in range(len(t))}
+    want = {(i, k, p) for i, t in texts if t for k, p in enumerate(naive(t))}
+    assert {tuple(r) for r in S.suffix_array(df, strategy=strategy).collect()} == want
+
+
+def test_ranks_go_back_by_merge(spark, texts):
+    df = spark.createDataFrame(texts, "doc_id long, text binary")
+    ranks = S.initial_ranks(S.suffixes(df, "doc_id", "text"), "doc_id")
+    assert "SortMergeJoin" in ranks._jdf.queryExecution().executedPlan().toString()
